@@ -69,8 +69,8 @@ def shard_of(key, bounds: list[int]):
     """Column: how many bounds are at most key; a null key goes to shard 0."""
     if not bounds:
         return F.lit(0)
-    tree = _tree(F.col(key) if isinstance(key, str) else key, bounds, 0, len(bounds))
-    return F.coalesce(tree, F.lit(0))
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key.isNull(), 0).otherwise(_tree(key, bounds, 0, len(bounds)))
 
 
 def _tree(key, bounds, lo, hi):
