@@ -61,11 +61,11 @@ def _anchors(window: int, seed: int):
                 chain = _chain(words)
                 extent = mix(_span(chain, a.lo, a.hi + window) + (a.pos - a.lo).astype(U64) * U64(0x9E3779B97F4A7C15) + (a.hi - a.lo).astype(U64))
                 base = bounds[:-1][a.row]
-                take = pa.array(a.row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.seed.view(np.int64)), pa.array(extent.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array((a.lo - base).astype(np.int32)), pa.array((a.hi - base).astype(np.int32))],
-                    names=["seed", "extent", "doc", "twin", "lo", "hi"],
-                )
+                doc, twin = np.asarray(b.column(0))[a.row], np.asarray(b.column(1))[a.row]
+                lo, hi = (a.lo - base).astype(np.int32), (a.hi - base).astype(np.int32)
+                late = _settled((a.seed, extent), doc, twin, lo)
+                part = np.where(late, mix(doc.astype(np.int64).view(U64)), a.seed)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.view(np.int64), late, a.seed.view(np.int64), extent.view(np.int64), doc, twin, lo, hi)], names=["part", "late", "seed", "extent", "doc", "twin", "lo", "hi"])
 
     return run
 
@@ -83,17 +83,44 @@ def _span(chain: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((chain[b] - chain[a]) * inverse[a] + (b - a).astype(U64))
 
 
+def _settled(key: tuple, doc: np.ndarray, twin: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which rows come after another one of their key among these rows already: the map-side part of keeping the first.
+
+    Such rows are repeats whatever else there is; they skip the comparison and are dealt by document, so that a key with very
+    many occurrences brings one row for each run of texts to its task.
+    """
+    order = np.lexsort((lo, twin, doc, *key))
+    same = np.ones(len(order), bool)
+    for k in key:
+        same[1:] &= k[order][1:] == k[order][:-1]
+    same[:1] = False
+    head = np.maximum.accumulate(np.where(same, -1, np.arange(len(order)))) if len(order) else order
+    own = [x[order] for x in (doc, twin, lo)]
+    again = np.ones(len(order), bool)
+    for x in own:
+        again &= x == x[head]
+    out = np.zeros(len(order), bool)
+    out[order] = same & ~again
+    return out
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (seed, extent, doc, twin, lo): kind 0 for occurrences whose whole extent occurs earlier; kind 1 for the
+    """Rows sorted by (late, seed, extent, doc, twin, lo), the late ones first: kind 0 for these, kind 0 for occurrences whose whole extent occurs earlier; kind 1 for the
     first of an extent whose seed also occurs in another one, so that single windows must be compared.
 
     Memory is one batch and one row: a seed may have any number of occurrences.
     """
     held = None  # the latest first occurrence, not yet known to be alone
+    names = ["kind", "seed", "doc", "twin", "lo", "hi"]
     for b in batches:
+        late = np.asarray(b.column(0))
+        if late.any():  # sorted before the others
+            done = b.filter(pa.array(late))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(done.num_rows, np.int32)), done.column(1), *(done.column(i) for i in range(3, 7))], names=names)
+            b = b.filter(pa.array(~late))
         if not b.num_rows:
             continue
-        seed, extent, doc, twin, lo, hi = (np.asarray(b.column(i)) for i in range(6))
+        seed, extent, doc, twin, lo, hi = (np.asarray(b.column(i)) for i in range(1, 7))
         n = len(seed)
         prior = held if held is not None else (None,) * 8
         same_seed, same_extent = np.zeros(n, bool), np.zeros(n, bool)
@@ -125,9 +152,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols.append([np.ones(len(e), np.int32), seed[e], doc[e], twin[e], lo[e], hi[e]])
             k = new[-1]
             held = (seed[k], extent[k], doc[k], twin[k], lo[k], hi[k], bool(before[-1]), None)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=["kind", "seed", "doc", "twin", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], names=names)
     if held is not None and held[6]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([v], t)) for v, t in ((1, np.int32), (held[0], np.int64), (held[2], np.int64), (held[3], np.int64), (held[4], np.int32), (held[5], np.int32))], names=["kind", "seed", "doc", "twin", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([v], t)) for v, t in ((1, np.int32), (held[0], np.int64), (held[2], np.int64), (held[3], np.int64), (held[4], np.int32), (held[5], np.int32))], names=names)
 
 
 def _windows(window: int):
@@ -147,19 +174,26 @@ def _windows(window: int):
                 start = np.repeat(lo, m) + ramp(m)
                 row = np.repeat(row, m)
                 at = start + bounds[:-1][row]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(_span(chain, at, at + window).view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(start.astype(np.int32))], names=["hash", "doc", "twin", "lo"])
+                hashed, doc, twin, start = _span(chain, at, at + window), np.asarray(b.column(0))[row], np.asarray(b.column(1))[row], start.astype(np.int32)
+                late = _settled((hashed,), doc, twin, start)
+                part = np.where(late, mix(doc.astype(np.int64).view(U64)), hashed)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.view(np.int64), late, hashed.view(np.int64), doc, twin, start)], names=["part", "late", "hash", "doc", "twin", "lo"])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hash, doc, twin, lo): those that aren't the first of their hash."""
+    """Rows sorted by (late, hash, doc, twin, lo), the late ones first: these, and those that aren't the first of their hash."""
     last = None
     for b in batches:
+        late = np.asarray(b.column(0))
+        if late.any():
+            done = b.filter(pa.array(late))
+            yield pa.RecordBatch.from_arrays([done.column(i) for i in range(2, 5)], names=["doc", "twin", "lo"])
+            b = b.filter(pa.array(~late))
         if not b.num_rows:
             continue
-        h, doc, twin, lo = (np.asarray(b.column(i)) for i in range(4))
+        h, doc, twin, lo = (np.asarray(b.column(i)) for i in range(1, 5))
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         new[0] = last is None or h[0] != last[0]
@@ -180,18 +214,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text: str =
     equal anchors at equal places. Extension: an anchor's extent is all words of the windows it was picked in. Where
     whole extents agree, all later ones are repeats; where seeds agree and extents don't (the ends of maximal
     repeats), one occurrence of each extent is kept and its windows are compared one by one. Neither step
-    forms pairs: both sort occurrences and keep the first.
+    forms pairs: both sort occurrences and keep the first, once in each run of texts before the shuffle and once after it.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     base = _keyed(docs, text, key)
-    found = base.mapInArrow(_anchors(window, seed), "seed long, extent long, doc long, twin long, lo int, hi int")
-    sorts = ["seed", "extent", "doc", "twin", "lo"]
-    resolved = scratch(found.repartition(n, "seed").sortWithinPartitions(*sorts).mapInArrow(_resolve, "kind int, seed long, doc long, twin long, lo int, hi int"), "repeats-resolved")
+    found = base.mapInArrow(_anchors(window, seed), "part long, late boolean, seed long, extent long, doc long, twin long, lo int, hi int")
+    sorts = [F.desc("late"), "seed", "extent", "doc", "twin", "lo"]
+    resolved = scratch(found.repartition(n, "part").sortWithinPartitions(*sorts).drop("part").mapInArrow(_resolve, "kind int, seed long, doc long, twin long, lo int, hi int"), "repeats-resolved")
 
     open_ = resolved.where("kind = 1").groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
     ranged = base.join(open_, ["doc", "twin"]).select("doc", "twin", "_text", F.col("r.lo").alias("los"), F.col("r.hi").alias("his"))
-    hashed = ranged.mapInArrow(_windows(window), "hash long, doc long, twin long, lo int").repartition(n, "hash").sortWithinPartitions("hash", "doc", "twin", "lo")
+    hashed = ranged.mapInArrow(_windows(window), "part long, late boolean, hash long, doc long, twin long, lo int").repartition(n, "part").sortWithinPartitions(F.desc("late"), "hash", "doc", "twin", "lo").drop("part")
     single = scratch(hashed.mapInArrow(_later, "doc long, twin long, lo int"), "repeats-windows")
     return resolved.where("kind = 0").select("doc", "twin", "lo", (F.col("hi") + window).alias("hi")).union(single.select("doc", "twin", "lo", (F.col("lo") + window).alias("hi")))
 
