@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are hashed at once; a longer run without a separator is hashed whole.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 
 # --- tables in the shared folder -------------------------------------------------------------
@@ -51,6 +54,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- workers ---------------------------------------------------------------------------------
+
+_OWNER: list[str] = [""]
+CACHES: list[dict] = []
+
+
+def begin(owner: str) -> None:
+    """Called where a task of an operator starts: a reused worker keeps the caches of one operator at a time,
+    and gives the memory of earlier tasks back to the system."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for c in CACHES:
+            c.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- range shards ----------------------------------------------------------------------------
 
 
@@ -96,7 +118,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about most bytes of text each; one longer text stands alone."""
     if not batch.num_rows:
         return

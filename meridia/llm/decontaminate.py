@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, ramp, scratch, slices, text_buffer
+from .common import FOLDED, U64, begin, ramp, scratch, slices, text_buffer
 
 #: Words of a window.
 WINDOW = 10
@@ -50,6 +50,7 @@ class Index:
 
     def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often each word of the vocabulary occurs in a partition's documents."""
+        begin("decontamination")
         total = np.zeros(len(self.vocab), np.int64)
         for whole in batches:
             for b in slices(whole, "_text"):
@@ -155,6 +156,7 @@ def _find(rows: DataFrame, shared, text: str, last: bool) -> DataFrame:
     at = columns.index(text)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("decontamination")
         index = shared.value
         for whole in batches:
             whole = whole.rename_columns([f"c{i}" for i in range(whole.num_columns)])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, grams, mix, partitions, range_bounds, shard_of, slices, text_buffer
+from .common import FOLDED, U64, begin, grams, mix, partitions, range_bounds, shard_of, slices, text_buffer
 
 #: Samples of a fingerprint; the likeness of two has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
@@ -140,6 +140,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     rows = spread.select("_shard", "_ahead", "_key", "_text").repartition(len(bounds) + 1, "_shard").sortWithinPartitions(*sorts)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("fingerprints")
         held: list = []  # (shard, ahead, key, text) not answered yet
         for whole in batches:
             for b in slices(whole, "_text", 2 << 20):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, grams, lists, mix, partitions, ramp, scratch, slices, text_buffer
+from .common import FOLDED, U64, begin, grams, lists, mix, partitions, ramp, scratch, slices, text_buffer
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -68,6 +68,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text identity (two hashes of its word sequence), number of words, and the keys of its bands."""
+    begin("join")
     for whole in batches:
         for b in slices(whole, "_text"):
             data, off = text_buffer(b.column(1))
@@ -99,6 +100,7 @@ class Verifier:
         self.least = least_matches(threshold, tolerance)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("join")
         group, held, out, weight = None, [], [], 0
         for whole in batches:
             for b in slices(whole, "_text", 1 << 20):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLAIN, U64, _powers, grams, mix, partitions, ramp, scratch, slices, text_buffer
+from .common import PLAIN, U64, _powers, begin, grams, mix, partitions, ramp, scratch, slices, text_buffer
 
 #: Words of a window; repeats of at least so many words are removed.
 WINDOW = 20
@@ -53,6 +53,7 @@ class Anchors:
 def _anchors(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            begin("repeats")
             for b in slices(whole, "_text"):
                 data, off = text_buffer(b.column(2))
                 _, _, words, bounds = PLAIN.split(data, off)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, range_bounds, shard_of, slices
+from .common import begin, partitions, range_bounds, shard_of, slices
 from .tokens import encoder
 
 #: The dictionary: bytes, documents of the training sample at most, and characters of each that are used.
@@ -65,6 +65,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        begin("token file")
         enc = encoder(tokenizer, False)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         for whole in batches:
@@ -121,6 +122,7 @@ def _frames(spark: SparkSession, path: str, blocks: DataFrame, digests_only: boo
     digest, data, width = _dictionary(spark, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token file, read")
         from binascii import crc32
 
         import zstandard

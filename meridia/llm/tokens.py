@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import CACHES, begin, slices
 
 #: Documents of more characters are cut into overlapping chunks of this length.
 CHUNK = 1 << 16
@@ -183,6 +183,7 @@ class Pieces:
 
 
 _OPEN: dict = {}
+CACHES.append(_OPEN)
 
 
 def encoder(path: str, counts: bool) -> Encoder:
@@ -201,6 +202,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("token counts")
         enc = encoder(tokenizer, True)
         for whole in batches:
             for b in slices(whole, "_text"):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import begin, slices, text_buffer
 
 #: Labelled rows that are used for fitting at most: those with the least hashes of their ids.
 TRAINING_ROWS = 20_000
@@ -62,6 +62,7 @@ class CharacterModel:
 
     @staticmethod
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         total = np.zeros(CLASSES**3, np.int64)
         for whole in batches:
             for b in slices(whole, "_text"):
@@ -135,7 +136,7 @@ class Restorer:
     def word(self, token: str) -> str:
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             got = self.known[token] = self.model.decode(token)
         return got
@@ -223,8 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sample = docs.select(F.col(key).alias("_k"), F.col(text).alias("_text")).join(F.broadcast(few), "_k").select("_y", "_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         restorer = Restorer(model)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "_text")):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(restorer.words(t or ""))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "f"])
 
     from .common import scratch
@@ -278,10 +280,12 @@ def toxicity(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         s = shared.value
-        for b in batches:
-            scores = pa.array([s.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "s"])
+        for whole in batches:
+            for b in slices(whole, f"c{at}"):
+                scores = pa.array([s.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "s"])
 
     out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("s", T.DoubleType())]))
     return out.toDF(*docs.columns, "score")
