@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meridia.llm import components, decontaminate, fingerprints, jaccard_join, lines, mixing, pii, substrings, tokenfile, tokens, toxicity
@@ -186,6 +187,46 @@ def brute_pii(x):
     return sorted(out)
 
 
+def brute_line_classes(found, threshold=lines.THRESHOLD, k=lines.SHINGLE):
+    """Sets of equal or nearly equal lines, over all pairs."""
+    sets = [{x[i : i + k] for i in range(len(x) - k + 1)} or {x} for x in found]
+    root = list(range(len(found)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in range(len(found)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root[find(i)] = find(j)
+    out = {}
+    for i in range(len(found)):
+        out.setdefault(find(i), set()).add(found[i])
+    return {frozenset(c) for c in out.values() if len(c) > 1}
+
+
+def test_line_classes_equal_all_pairs(spark, monkeypatch):
+    """Lines that share words with a common stem but link only among themselves, so that a band's least line links to few."""
+    rnd = np.random.default_rng(11)
+    own = lambda n: " ".join(rnd.choice(VOCAB, n))
+    stem = own(40)
+    found = []
+    for _ in range(25):  # families far from each other that keep a common passage
+        family = stem + " " + own(45)
+        found += [family, family + " " + rnd.choice(list("abc")), family.replace(" ", "  ", 1)]
+    found += [own(20) for _ in range(40)]
+    found = sorted({x.strip() for x in found})
+    monkeypatch.setattr(lines, "BLOCK", 2000)  # several blocks in a band
+    table = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    parts, classes = lines.line_classes(table)
+    named = parts.join(classes, "h1").groupBy("class").agg(F.collect_set("doc").alias("m")).collect()
+    assert {frozenset(found[i] for i in r.m) for r in named if len(r.m) > 1} == brute_line_classes(found)
+
+
+
 def test_pii(spark, docs, empty):
     alphabet = ["1", "23", "4539148803436467", ".", "@", "a.b", "-", " ", "+", "_", "com", "é", "10.0.0.1", "(5) "]
     rows = [(i, "".join(rng.choice(alphabet, 25))) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(TEXTS)]
