@@ -220,7 +220,7 @@ def test_line_classes_equal_all_pairs(spark, monkeypatch):
     found += [own(20) for _ in range(40)]
     found = sorted({x.strip() for x in found})
     monkeypatch.setattr(lines, "BLOCK", 2000)  # several blocks in a band
-    monkeypatch.setattr(lines, "_bands", lambda sketch: F.array(F.lit(1).cast("long")))  # one band: its least line alone finds few links
+    monkeypatch.setattr(lines, "_bands", lambda sketch, seed: F.array(F.lit(1).cast("long")))  # one band: its least line alone finds few links
     table = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     parts, classes = lines.line_classes(table)
     named = parts.join(classes, "h1").groupBy("class").agg(F.collect_set("doc").alias("m")).collect()
