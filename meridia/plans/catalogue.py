@@ -216,6 +216,25 @@ def overlay_search(spark, d) -> DataFrame:
     return tiles.overlay_search(e, t, tiles.overlay(e, t, RANGE), tiles.cell_index(e, t, RANGE), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
 
 
+def _whole_hierarchy(spark, d):
+    """All edges, contracted as far as contract's own bounds allow."""
+    return hierarchy.contract(fx.nodes(spark, d), fx.edges(spark, d))
+
+
+def phast_all_edges(spark, d) -> DataFrame:
+    return hierarchy.sweep(*_whole_hierarchy(spark, d), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
+
+
+def ch_query_all_edges(spark, d) -> DataFrame:
+    return hierarchy.query(*_whole_hierarchy(spark, d), 0, 9).select("dist")
+
+
+def overlay_search_all_edges(spark, d) -> DataFrame:
+    n, e = fx.nodes(spark, d), fx.edges(spark, d)
+    t = fx.tiles(n)
+    return tiles.overlay_search(e, t, tiles.overlay(e, t, RANGE), tiles.cell_index(e, t, RANGE), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
+
+
 def matrix(spark, d) -> DataFrame:
     p = fx.points(spark, d)
     return api.matrix(fx.nodes(spark, d), fx.edges(spark, d), p.where("point_id < 20"), p.where("point_id BETWEEN 20 AND 80"), RANGE)
@@ -227,7 +246,7 @@ QUERIES = {
         degree, turn_pairs, avoid_edges, border_nodes, cross_border_edges, tile_partition_geo, weights_car, weights_foot, weights_bike, weights_shortest, speed_decode,
         haversine_edges, snap_nearest, grid_points_in_polygon, range_dijkstra, multi_source, avoid_dijkstra, turn_cost_dijkstra, nearest_source, k_nearest, reach_bfs, scc_of_node,
         largest_scc, shortest_path_length, meet_in_middle, gtfs_connections, schedule_by_day, next_departure, departures_in_window, pareto_labels, transit_earliest_arrival,
-        transit_window_matrix, isoraster_cells, marching_keys, isochrone_rings, phast_all, ch_query, overlay_search, matrix,
+        transit_window_matrix, isoraster_cells, marching_keys, isochrone_rings, phast_all, ch_query, overlay_search, phast_all_edges, ch_query_all_edges, overlay_search_all_edges, matrix,
     )
 }
 
@@ -314,6 +333,9 @@ FROM rg_edges JOIN rg_nodes a ON a.node_id = node_a JOIN rg_nodes b ON b.node_id
     "phast_all": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _LIGHT, _search("light", ids=[0])),
     "ch_query": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _LIGHT, _search("light", ids=[0], most=100000)),
     "overlay_search": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _LIGHT, _search("light", ids=[0])),
+    "phast_all_edges": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
+    "ch_query_all_edges": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _search(ids=[0], most=100000)),
+    "overlay_search_all_edges": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
     "matrix": _q(
         "SELECT s.point_id AS source, t.point_id AS target, CAST(COALESCE(dist, -1) AS INT) AS distance FROM sn s CROSS JOIN sn t LEFT JOIN fp ON fp.src = s.node_id AND fp.node = t.node_id WHERE s.point_id < 20 AND t.point_id BETWEEN 20 AND 80",
         "sn AS (SELECT p.point_id, COALESCE(ARG_MIN(n.node_id, (SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat)), n.node_id)), -1) AS node_id FROM rg_points p LEFT JOIN rg_nodes n ON SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat)) <= CAST(0.05 AS DOUBLE) GROUP BY p.point_id)",

@@ -1,5 +1,6 @@
 """Every registered network query against its SQL in DuckDB, on the smallest tables."""
 
+import heapq
 import math
 from pathlib import Path
 
@@ -7,6 +8,7 @@ import duckdb
 import pytest
 
 from meridia.plans import catalogue
+from meridia.plans import fixtures as fx
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -42,3 +44,26 @@ def test_query_equals_its_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, str(DATA))
     want = duck.execute(catalogue.ORACLE_SQL[name])
     assert table(got.columns, got.collect()) == table([c[0] for c in want.description], want.fetchall())
+
+
+def heap_search(edges, start):
+    """Distances from a node over (node_a, node_b, weight) rows, without Spark or SQL."""
+    out, best, heap = {}, {}, [(0, start)]
+    for a, b, w in edges:
+        out.setdefault(a, []).append((b, w))
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in best:
+            best[n] = d
+            for m, w in out.get(n, ()):
+                heapq.heappush(heap, (d + w, m))
+    return best
+
+
+def test_hierarchy_and_overlay_search_the_whole_edge_table(spark):
+    d = str(DATA)
+    want = heap_search([(r.node_a, r.node_b, r.weight) for r in fx.edges(spark, d).collect()], 0)
+    near = {n: x for n, x in want.items() if x <= catalogue.RANGE}
+    for name in ("phast_all_edges", "overlay_search_all_edges"):
+        assert {r.node: r.dist for r in catalogue.QUERIES[name](spark, d).collect()} == near
+    assert [r.dist for r in catalogue.QUERIES["ch_query_all_edges"](spark, d).collect()] == [want[9]]
