@@ -154,7 +154,7 @@ class Restorer:
                 odd.append(p)
         for p in odd:
             found.update(_WORD.findall(p))
-        for p in [p for p in odd if not p[:-1].isalpha() or _tripled(p)] + [p for p in found if _tripled(p)]:
+        for p in odd + [p for p in found if _tripled(p)]:
             if _SUSPECT.search(p):
                 for m in _LEET.findall(p) if not p.isalpha() else [p]:
                     found.update(_WORD.findall(self.word(m)))

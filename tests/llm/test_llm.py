@@ -309,3 +309,15 @@ def test_toxicity(spark, docs, empty):
     assert [r.h for r in df.select(toxicity.held_out("doc_id").alias("h")).collect()] == [toxicity.crc_held_out(i) for i, _ in rows]
     assert toxicity.toxicity(docs, scorer).count() == docs.count() and toxicity.toxicity(empty, scorer).count() == 0
     assert toxicity.toxicity(df, toxicity.fit(empty, labels)).count() == len(rows)
+
+
+def test_a_sign_at_the_end_of_a_token_is_decoded():
+    """Words are those of the restored text, also where a token's last character is its only sign."""
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    seen = " idiot " * 50
+    for a, b, c in zip(seen, seen[1:], seen[2:], strict=False):
+        counts[(toxicity._TABLE[ord(a)] * toxicity.CLASSES + toxicity._TABLE[ord(b)]) * toxicity.CLASSES + toxicity._TABLE[ord(c)]] += 1
+    restorer = toxicity.Restorer(toxicity.CharacterModel(counts))
+    for token in ("idio7", "foo1", "trottel5", "idio7,"):
+        assert set(re.findall(r"[^\W\d_]+", restorer.restored(token))) <= restorer.words(token)
+    assert "idiot" in restorer.words("idio7")
