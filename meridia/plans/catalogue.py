@@ -240,6 +240,22 @@ def matrix(spark, d) -> DataFrame:
     return api.matrix(fx.nodes(spark, d), fx.edges(spark, d), p.where("point_id < 20"), p.where("point_id BETWEEN 20 AND 80"), RANGE)
 
 
+def next_departure_all_stops(spark, d) -> DataFrame:
+    conns = gtfs_connections(spark, d)
+    ask = conns.select("conn_id", F.explode(F.array(F.lit(30000), F.lit(43200))).alias("asked"))
+    return transit.next_departure(ask, transit.schedule(fx.legs(spark, d), conns))
+
+
+def pareto_labels_all_day(spark, d) -> DataFrame:
+    t = fx.timetable(spark, d)
+    return transit.pareto(t.select(F.col("stop_a").alias("src"), F.col("stop_b").alias("stop"), F.col("arrival").alias("time"), "departure"))
+
+
+def matrix_all_points(spark, d) -> DataFrame:
+    """From every supplier to every point."""
+    return api.matrix(fx.nodes(spark, d), fx.edges(spark, d), fx.suppliers(spark, d), fx.points(spark, d), RANGE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -247,6 +263,7 @@ QUERIES = {
         haversine_edges, snap_nearest, grid_points_in_polygon, range_dijkstra, multi_source, avoid_dijkstra, turn_cost_dijkstra, nearest_source, k_nearest, reach_bfs, scc_of_node,
         largest_scc, shortest_path_length, meet_in_middle, gtfs_connections, schedule_by_day, next_departure, departures_in_window, pareto_labels, transit_earliest_arrival,
         transit_window_matrix, isoraster_cells, marching_keys, isochrone_rings, phast_all, ch_query, overlay_search, phast_all_edges, ch_query_all_edges, overlay_search_all_edges, matrix,
+        next_departure_all_stops, pareto_labels_all_day, matrix_all_points,
     )
 }
 
@@ -288,6 +305,11 @@ def _q(body: str, *ctes: str) -> str:
     return head + "".join(f", {c}" for c in ctes) + " " + body
 
 
+def _snapped(name: str, points: str) -> str:
+    d = "SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat))"
+    return f"{name} AS (SELECT p.point_id, COALESCE(ARG_MIN(n.node_id, ({d}, n.node_id)), -1) AS node_id FROM {points} p LEFT JOIN rg_nodes n ON {d} <= CAST(0.05 AS DOUBLE) GROUP BY p.point_id)"
+
+
 _RAD = lambda x: f"(CAST(CAST({x} AS FLOAT) AS DOUBLE) * CAST(3.141592653589793 AS DOUBLE) / 180)"
 _SPEED_CASES = "CASE road_type " + " ".join(f"WHEN {i + 1} THEN {roads.CLASS_SPEED[n]}" for i, n in enumerate(roads.ROAD_TYPES)) + " END"
 _RIDE = "SELECT r.{key}, t.stop_b, MIN(t.arr) FROM {name} r, LATERAL (SELECT route_id, stop_b, ARG_MIN(arrival, departure) AS arr FROM tt WHERE stop_a = r.stop AND departure >= r.time AND departure <= {last} GROUP BY route_id, stop_b) t LEFT JOIN recurring.{name} x ON {match} WHERE t.arr {limit} AND t.arr < COALESCE(x.time, 2000000000) GROUP BY ALL"
@@ -341,4 +363,13 @@ FROM rg_edges JOIN rg_nodes a ON a.node_id = node_a JOIN rg_nodes b ON b.node_id
         "sn AS (SELECT p.point_id, COALESCE(ARG_MIN(n.node_id, (SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat)), n.node_id)), -1) AS node_id FROM rg_points p LEFT JOIN rg_nodes n ON SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat)) <= CAST(0.05 AS DOUBLE) GROUP BY p.point_id)",
         _search(starts="SELECT DISTINCT node_id AS src, node_id AS node, 0 AS dist FROM sn WHERE point_id < 20 AND node_id >= 0"),
     ),
+    "next_departure_all_stops": _q("SELECT conn_id, asked, MIN(departure) AS departure, ARG_MIN(arrival, departure) AS arrival FROM conns JOIN tt USING (route_id, stop_a, stop_b), (SELECT UNNEST([30000, 43200]) AS asked) WHERE departure >= asked GROUP BY conn_id, asked", _CONNS),
+    "pareto_labels_all_day": _q("SELECT DISTINCT src, stop, time, departure FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.src = l.src AND m.stop = l.stop AND m.time <= l.time AND m.departure >= l.departure AND (m.time < l.time OR m.departure > l.departure))", "l AS (SELECT stop_a AS src, stop_b AS stop, arrival AS time, departure FROM tt)"),
+    "matrix_all_points": _q(
+        "SELECT s.point_id AS source, t.point_id AS target, CAST(COALESCE(dist, -1) AS INT) AS distance FROM ss s CROSS JOIN sn t LEFT JOIN fp ON fp.src = s.node_id AND fp.node = t.node_id",
+        f"rg_suppliers AS ({fx.SUPPLIERS_SQL})",
+        _snapped("ss", "rg_suppliers"),
+        _snapped("sn", "rg_points"),
+        _search(starts="SELECT DISTINCT node_id AS src, node_id AS node, 0 AS dist FROM ss WHERE node_id >= 0"),
+    ),
 }

@@ -23,11 +23,14 @@ LEGS_SQL = """SELECT trip_id, route_id, stop_a, stop_b, departure, CAST(departur
 POINTS_SQL = """SELECT CAST(p_partkey AS INT) AS point_id,
   CAST(6 AS DOUBLE)+CAST((p_partkey*7001) % 997 AS DOUBLE)/CAST(240 AS DOUBLE) AS lon,
   CAST(49 AS DOUBLE)+CAST((p_partkey*5003) % 991 AS DOUBLE)/CAST(240 AS DOUBLE) AS lat FROM part"""
+SUPPLIERS_SQL = """SELECT CAST(s_suppkey AS INT) AS point_id,
+  CAST(6 AS DOUBLE)+CAST((s_suppkey*7907) % 997 AS DOUBLE)/CAST(245 AS DOUBLE) AS lon,
+  CAST(49 AS DOUBLE)+CAST((s_suppkey*104723) % 991 AS DOUBLE)/CAST(245 AS DOUBLE) AS lat FROM supplier"""
 TILE_SQL = "CAST(FLOOR(lon) AS INT)*10 + CAST(FLOOR(lat) AS INT)"
 
 
 def _sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    return spark.sql(sql.replace("customer", "{customer}").replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}").replace("FROM part", "FROM {part}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    return spark.sql(sql.replace("customer", "{customer}").replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}").replace("FROM part", "FROM {part}").replace("FROM supplier", "FROM {supplier}"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +49,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, POINTS_SQL, "part")
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, SUPPLIERS_SQL, "supplier")
+
+
 def timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures with a connection id made of its key."""
     grouped = legs(spark, sf_dir).groupBy("route_id", "stop_a", "stop_b", "departure").agg(F.min("arrival").alias("arrival"))
