@@ -154,3 +154,27 @@ def meet(forward: DataFrame, back: DataFrame) -> DataFrame:
     """(node, dist): where a forward and a backward search meet at the least sum; ties go to the smaller node."""
     both = forward.select("node", F.col("dist").alias("f")).join(back.select("node", F.col("dist").alias("b")), "node")
     return both.select("node", (F.col("f") + F.col("b")).alias("dist")).orderBy("dist", "node").limit(1)
+
+
+def both_ways(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """(node, dist): where searches from both ends meet at the least sum; no row if there is no path.
+
+    The side whose frontier has the lesser least label goes on, until the sum of both least labels reaches the best meeting or a
+    side is exhausted: labels up to a frontier's least one are final, so no shorter path is left. Labels that reach the best
+    meeting are dropped.
+    """
+    spark = edges.sparkSession
+    seed = lambda n: cut(spark.createDataFrame([(n, n, 0)], "src int, node int, dist int"), "best")
+    graphs, best = (edges, backward(edges)), [seed(source), seed(target)]
+    front, least = list(best), [0, 0]
+    while True:
+        row = meet(*best).first()
+        bound = row["dist"] if row else 2**31 - 1
+        if None in least or sum(least) >= bound:
+            return meet(*best)
+        i = 0 if least[0] <= least[1] else 1
+        step = front[i].join(graphs[i], front[i]["node"] == graphs[i]["node_a"]).select("src", F.col("node_b").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
+        cand = step.where(F.col("dist") < bound).groupBy("src", "node").agg(F.min("dist").alias("dist"))
+        front[i] = cut(cand.join(best[i].withColumnRenamed("dist", "_old"), ["src", "node"], "left").where("_old IS NULL OR dist < _old").select("src", "node", "dist"), "front")
+        best[i] = cut(best[i].unionByName(front[i]).groupBy("src", "node").agg(F.min("dist").alias("dist")), "best")
+        least[i] = front[i].agg(F.min("dist")).first()[0]

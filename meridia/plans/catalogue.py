@@ -146,9 +146,7 @@ def shortest_path_length(spark, d) -> DataFrame:
 
 
 def meet_in_middle(spark, d) -> DataFrame:
-    e = fx.edges(spark, d)
-    one = lambda n: search.seeds_of(_ids(spark, [n]))
-    return search.meet(search.fixpoint(e, one(0), RANGE), search.fixpoint(search.backward(e), one(9), RANGE)).select(F.col("dist").cast("int").alias("dist"))
+    return search.both_ways(fx.edges(spark, d), 0, 9).select(F.col("dist").cast("int").alias("dist"))
 
 
 def gtfs_connections(spark, d) -> DataFrame:

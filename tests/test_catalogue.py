@@ -83,3 +83,17 @@ def test_matrix_and_transit_ask_for_every_point_connection_and_departure(spark):
     labels = {(r.src, r.stop, r.time, r.departure) for r in run("pareto_labels_all_day")}
     for r in rows:
         assert any(t <= r.arrival and x >= r.departure for s, p, t, x in labels if (s, p) == (r.stop_a, r.stop_b))
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [(0, 1, 10), (1, 2, 499), (2, 9, 10)],
+        [(0, 1, 1), (1, 2, 499), (2, 9, 1), (0, 3, 280), (3, 9, 280)],
+        [(0, 1, 5), (9, 1, 5)],
+    ],
+)
+def test_meet_in_middle_finds_paths_over_heavy_edges(spark, monkeypatch, edges):
+    monkeypatch.setattr(fx, "edges", lambda spark, d: spark.createDataFrame(edges, "node_a int, node_b int, weight int"))
+    want = heap_search(edges, 0).get(9)
+    assert [r.dist for r in catalogue.QUERIES["meet_in_middle"](spark, "").collect()] == ([] if want is None else [want])
