@@ -23,11 +23,14 @@ SEGMENT = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a
+    temporary folder; a cluster must name one, since its machines share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="meridia-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -47,7 +50,25 @@ def scratch(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     path = path or table_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that scratch() wrote and that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def integer_key(docs: DataFrame, key: str):
+    """The key as a long column; an id of another type than integers is refused when the plan is made."""
+    kind = docs.schema[key].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"column {key} must hold integers, not {kind}")
+    return F.col(key).cast("long")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -192,29 +213,35 @@ class Words:
         return starts, ends, hashes, np.searchsorted(starts, offsets)
 
     def _hash(self, data, starts, ends):
-        power, inverse = _powers(len(data) + 1)
+        power, inverse = powers(len(data) + 1)
         total = np.empty(len(data) + 1, U64)
         total[0] = 0
         np.cumsum(self.table[data] * power[: len(data)], out=total[1:])
         return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
 
-_POWERS: list[np.ndarray] = []
+_POWERS: dict[str, list[np.ndarray]] = {}
+CACHES.append(_POWERS)
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least n of each; those of SEGMENT are kept."""
+    kept = SEGMENT + (1 << 16)
+    if n > kept:
+        return _make_powers(n)
+    if "" not in _POWERS:
+        _POWERS[""] = _make_powers(kept)
+    return _POWERS[""]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, SEGMENT + (1 << 16))
-        base = 0x9E3779B97F4A7C15
-        inv = pow(base, -1, 1 << 64)
-        found = []
-        for b in (base, inv):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            found.append(np.cumprod(p, dtype=U64))
-        _POWERS[:] = found
-    return _POWERS
+def _make_powers(n: int) -> list[np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    found = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        p = np.full(n, b, U64)
+        p[0] = 1
+        found.append(np.cumprod(p, dtype=U64))
+    return found
 
 
 #: Words between blanks, unchanged.

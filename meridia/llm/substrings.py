@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLAIN, U64, _powers, begin, grams, mix, partitions, ramp, scratch, slices, text_buffer
+from .common import PLAIN, U64, begin, grams, mix, partitions, powers, ramp, scratch, slices, text_buffer
 
 #: Words of a window; repeats of at least so many words are removed.
 WINDOW = 20
@@ -73,14 +73,14 @@ def _anchors(window: int, seed: int):
 
 def _chain(words: np.ndarray) -> np.ndarray:
     """Prefix sums of words times powers of an odd number, from which _span hashes any run of words."""
-    power, _ = _powers(len(words) + 1)
+    power, _ = powers(len(words) + 1)
     out = np.zeros(len(words) + 1, U64)
     np.cumsum(mix(words) * power[: len(words)], out=out[1:])
     return out
 
 
 def _span(chain: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    _, inverse = _powers(len(chain))
+    _, inverse = powers(len(chain))
     return mix((chain[b] - chain[a]) * inverse[a] + (b - a).astype(U64))
 
 

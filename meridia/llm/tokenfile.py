@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import begin, partitions, range_bounds, shard_of, slices
-from .tokens import encoder
+from .common import begin, integer_key, partitions, range_bounds, slices
+from .tokens import Encoder, opened
 
-#: The dictionary: bytes, documents of the training sample at most, and characters of each that are used.
+#: The dictionary: its bytes, the documents of its training sample at most, and the characters of a passage of each, which
+#: begins anywhere in the text. The bound keeps the sample at a few MB for any corpus; it changes no id, only frames' sizes.
 DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 1 << 16, 1000, 4000
 #: A block ends after so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 256, 1 << 20
@@ -32,16 +33,19 @@ LEVEL = 3
 
 
 def _train(docs: DataFrame, tokenizer: str, text: str, key: str) -> tuple[bytes, int]:
-    """A zstandard dictionary from the id arrays of a bounded sample: the documents with the SAMPLE_DOCS least hashes."""
+    """A zstandard dictionary from the id arrays of passages of a bounded sample: the documents with the SAMPLE_DOCS least
+    hashes of their keys. A passage begins at a place that the hash chooses, so all parts of texts are met."""
     import zstandard
 
     hashed = docs.select(F.xxhash64(key).alias("_h"))
     low = hashed.orderBy("_h").limit(SAMPLE_DOCS).agg(F.max("_h")).first()[0]
     rows = []
     if low is not None:
-        rows = docs.where(F.xxhash64(key) <= low).select(F.xxhash64(key).alias("_h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("_h", "t").limit(SAMPLE_DOCS).collect()
-    enc = encoder(tokenizer, False)
-    samples = [s for s in enc.batch([r["t"] or "" for r in rows]) if s]
+        start = F.pmod(F.xxhash64(F.lit(1), key), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+        rows = docs.where(F.xxhash64(key) <= low).select(F.xxhash64(key).alias("_h"), F.substring(text, start, F.lit(SAMPLE_CHARS)).alias("t")).orderBy("_h", "t").limit(SAMPLE_DOCS).collect()
+    enc = Encoder(tokenizer)
+    ids, at = enc.ids(pa.array([r["t"] or "" for r in rows], pa.large_string()))
+    samples = [s for s in (ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)) if s]
     try:
         data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples: raw content serves as a dictionary
@@ -53,25 +57,37 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """Encode each whole text (null: empty), append end_id, and write the file set in ascending order of key.
 
     Encoding and compression precede the one shuffle, so only frames are moved. Shards are ranges of about
-    equal counts of documents. Rows of equal keys stay, ordered by their frames; null keys come first; an empty table gives
-    a file set without blocks; further columns are not kept.
+    equal counts of documents. The key must be an integer. Rows of equal keys stay, ordered by their frames; null keys come first; an empty
+    table gives a file set without blocks; a very long text is one frame; further columns, whatever their names, are not kept.
     """
     spark = docs.sparkSession
-    dictionary, width = _train(docs, tokenizer, text, key)
+    rows = docs.select(integer_key(docs, key).alias("_key"), F.col(text).alias("_text"))
+    dictionary, width = _train(rows, tokenizer, "_text", "_key")
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
-    end = b"" if end_id is None else np.array([end_id], "<u2" if width == 2 else "<u4").tobytes()
+    bounds = range_bounds(rows, "_key", shards or partitions(spark))
+    edges = np.array(bounds, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         begin("token file")
-        enc = encoder(tokenizer, False)
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
+        enc = opened(Encoder, tokenizer)
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=LEVEL)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         for whole in batches:
             for b in slices(whole, "_text"):
-                ids = [x + end for x in enc.batch([t or "" for t in b.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([press.compress(x) for x in ids], pa.binary())], names=["_key", "n", "frame"])
+                ids, at = enc.ids(b.column(1))
+                if end_id is not None:
+                    ids = np.insert(ids, at[1:], end_id)
+                    at = at + np.arange(len(at))
+                raw = memoryview(ids).cast("B")
+                ends = (at * width).tolist()
+                frames = [press.compress(raw[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+                known = b.column(0).fill_null(0).to_numpy()
+                shard = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, known, "right")).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["shard", "_key", "n", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start, held, weight = None, 0, 0, [], 0
@@ -98,10 +114,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if held:
             yield emit()
 
-    n = shards or partitions(spark)
-    bounds = range_bounds(docs, key, n)
-    frames = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).mapInArrow(encode, "_key long, n long, frame binary")
-    ordered = frames.withColumn("shard", shard_of("_key", bounds)).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("_key").asc_nulls_first(), "n", "frame")
+    frames = rows.mapInArrow(encode, "shard int, _key long, n long, frame binary")
+    ordered = frames.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.col("_key").asc_nulls_first(), "n", "frame")
     blocks = ordered.select("shard", "_key", "n", "frame").mapInArrow(pack, "shard int, block long, first_doc long, last_doc long, doc_ids array<long>, n_tokens array<long>, starts array<long>, offsets array<long>, frames binary, dict_hash string")
     blocks.write.parquet(f"{path}/shards")
     index = spark.read.parquet(f"{path}/shards").select("shard", F.size("doc_ids").cast("long").alias("d"), F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("t"), "first_doc", "last_doc")
@@ -118,7 +132,8 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes, int]:
     return r["dict_hash"], data, r["width"]
 
 
-def _frames(spark: SparkSession, path: str, blocks: DataFrame, digests_only: bool) -> DataFrame:
+def _frames(spark: SparkSession, path: str, blocks: DataFrame, digests_only: bool = False, wanted: int | None = None) -> DataFrame:
+    """Documents of blocks; with wanted only the frames of this document are cut out, by the offsets, and expanded."""
     digest, data, width = _dictionary(spark, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +147,14 @@ def _frames(spark: SparkSession, path: str, blocks: DataFrame, digests_only: boo
             for r in b.to_pylist():
                 if r["dict_hash"] != digest:
                     raise ValueError("a block was written with another dictionary")
-                o, raw = r["offsets"], r["frames"]
-                ids = [np.frombuffer(expand.decompress(raw[i:j]), f"<u{width}").astype("<u4") for i, j in zip(o, o[1:], strict=False)]
-                if [len(x) for x in ids] != r["n_tokens"]:
+                at, raw = r["offsets"], memoryview(r["frames"])
+                some = [i for i, d in enumerate(r["doc_ids"]) if wanted is None or d == wanted]
+                ids = [np.frombuffer(expand.decompress(raw[at[i] : at[i + 1]]), f"<u{width}").astype("<u4") for i in some]
+                if [len(x) for x in ids] != [r["n_tokens"][i] for i in some]:
                     raise ValueError("a frame doesn't hold as many ids as its index says")
                 last = pa.array([crc32(x.tobytes()) for x in ids], pa.int64()) if digests_only else pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(ids), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["starts"], pa.int64()), pa.array(r["n_tokens"], pa.int64()), last], names=["shard", "doc_id", "_start", "n_tokens", what])
+                index = [pa.array([r[c][i] for i in some], pa.int64()) for c in ("doc_ids", "starts", "n_tokens")]
+                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(ids), pa.int32()), *index, last], names=["shard", "doc_id", "_start", "n_tokens", what])
 
     what, kind = ("ids_crc32", "long") if digests_only else ("ids", "array<long>")
     rows = blocks.select("shard", "doc_ids", "n_tokens", "starts", "offsets", "frames", "dict_hash").mapInArrow(decode, f"shard int, doc_id long, _start long, n_tokens long, {what} {kind}")
@@ -151,6 +168,6 @@ def read_tokens(spark: SparkSession, path: str, digests_only: bool = False) -> D
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
-    """One document: Parquet's statistics leave the block that can hold it."""
+    """One document: Parquet's statistics leave the block that can hold it, the offset index its frame, which alone is expanded."""
     blocks = spark.read.parquet(f"{path}/shards").where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
-    return _frames(spark, path, blocks, False).where(F.col("doc_id") == doc_id)
+    return _frames(spark, path, blocks, wanted=doc_id)

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -58,11 +59,39 @@ def test_token_counts(docs, empty, tok):
 
 
 @pytest.mark.parametrize("text", [TEXTS[11], "a" * 3000, "x  y\n\n z\t" * 400, "don't <|endoftext|>!! " * 300, "日本語テキスト" * 500, " <|endoftext|>" * 200])
-def test_chunks_equal_the_whole(tok, text):
+def test_chunks_and_pieces_equal_the_whole(tok, text):
+    want = tok.encode(text, add_special_tokens=False).ids
+    for chunk, overlap in ((40, 16), (300, 32)):  # the least overlaps must be widened
+        assert tokens.Chunks(tokens.tokenizer_path(), chunk, overlap).ids(text) == want
+    ids, at = tokens.Encoder(tokens.tokenizer_path()).ids(pa.array([text, None, "", text]))
+    assert ids.tolist() == want + want and at.tolist() == [0, len(want), len(want), len(want), 2 * len(want)]
+
+
+SIGNS_AND_BLANKS = ["a" * 70, " ", "  ", "\n", "\n\n", "\t", "don't", "<|endoftext|>", "日本語", "\u00a0", "é", "word", "123", "!!!", "'s", " x", "\u3000", "\u0085", "\u200b", "😀", "ß,"]
+
+
+def test_chunks_and_pieces_on_random_texts(tok):
+    chunks, pieces = tokens.Chunks(tokens.tokenizer_path(), 40, 16), tokens.Encoder(tokens.tokenizer_path())
+    for _ in range(200):
+        text = "".join(rng.choice(SIGNS_AND_BLANKS, rng.integers(0, 120)))
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert chunks.ids(text) == want and pieces.ids(pa.array([text]))[0].tolist() == want, text
+
+
+def test_counts_come_from_spliced_chunks(spark):
+    """A long document is put together from several chunks, and a splice that goes wrong would change its count."""
+    got = tokens.token_counts(spark.createDataFrame([(1, prose(20000)), (2, "short")], "doc_id long, text string"), tokens.tokenizer_path())
+    assert {r.doc_id: r.n_chunks > 5 for r in got.collect()} == {1: True, 2: False}
+
+
+def test_the_piece_cache_stays_bounded(tok, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000)
     enc = tokens.Encoder(tokens.tokenizer_path())
-    want = np.array(tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-    assert enc.spliced(text, chunk=300, overlap=32) == want
-    assert enc.encode([text])[0] == want
+    for i in range(30):
+        text = "the same words " + " ".join(f"w{i}x{j}" for j in range(40))
+        assert enc.ids(pa.array([text]))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert enc.weight < 30_000
+    assert " same" in enc.known
 
 
 def test_token_file_round_trip(spark, docs, empty, tok, tmp_path):
@@ -76,6 +105,10 @@ def test_token_file_round_trip(spark, docs, empty, tok, tmp_path):
     crc = {r.start: r.ids_crc32 for r in tokenfile.read_tokens(spark, path, digests_only=True).collect()}
     assert all(crc[r.start] == zlib.crc32(struct.pack(f"<{r.n_tokens}I", *r.ids)) for r in rows)
     assert list(tokenfile.read_document(spark, path, 8).first().ids) == tok.encode("one").ids + [2]
+    blocks = spark.read.parquet(f"{path}/shards")
+    broken = blocks.withColumn("frames", F.expr("overlay(frames PLACING cast('xxxx' AS binary) FROM 1)"))
+    last = broken.where("size(doc_ids) > 1").orderBy("shard").collect()[-1].doc_ids[-1]  # each block's first frame is spoilt, others aren't expanded
+    assert list(tokenfile._frames(spark, path, broken, wanted=last).first().ids) == tok.encode(TEXTS[last], add_special_tokens=False).ids + [2]
     tokenfile.write_tokens(empty, f"file://{tmp_path}/e", tokens.tokenizer_path(), 2)
     assert tokenfile.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
@@ -284,8 +317,6 @@ def test_fingerprints(spark, docs, empty):
 def test_collision_rate_is_generalised_jaccard():
     from meridia.llm.common import FOLDED, text_buffer
 
-    import pyarrow as pa
-
     a, b = ["x y " * 3 + "p q r s", "x y " * 5 + "p q t u"]
     count = lambda t: collections.Counter(zip(t.split(), t.split()[1:]))  # noqa: B905, E731
     ca, cb = count(a), count(b)
