@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         shared.precompute_compress(level=LEVEL)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         for whole in batches:
-            for b in slices(whole, "_text"):
+            for b in slices(whole, "_text", 3 << 20):
                 ids, at = enc.ids(b.column(1))
                 if end_id is not None:
                     ids = np.insert(ids, at[1:], end_id)
@@ -89,28 +90,43 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 shard = np.where(b.column(0).is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, known, "right")).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0), pa.array(np.diff(at)), pa.array(frames, pa.binary())], names=["shard", "_key", "n", "frame"])
 
+    names = ["shard", "block", "first_doc", "last_doc", "doc_ids", "n_tokens", "starts", "offsets", "frames", "dict_hash"]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, start, held, weight = None, 0, 0, [], 0
+        """Blocks of rows that arrive in the order of the file; a block is made of slices of batches."""
+        begin("token file, pack")
+        held, docs_held, weight = [], 0, 0
+        shard, block, start = None, 0, 0
 
         def emit():
-            keys, ns, starts, frames = zip(*held, strict=True)
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
-            known = [k for k in keys if k is not None]
-            values = [shard, block, known[0] if known else None, known[-1] if known else None, list(keys), list(ns), list(starts), offsets.tolist(), b"".join(frames), digest]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
-
-        names = ["shard", "block", "first_doc", "last_doc", "doc_ids", "n_tokens", "starts", "offsets", "frames", "dict_hash"]
-        many = pa.list_(pa.int64())
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), many, many, many, many, pa.binary(), pa.string()]
+            nonlocal held, docs_held, weight, block, start
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            keys, n, frames = t.column(1), t.column(2).to_numpy(), t.column(3)
+            known = keys.drop_null()
+            lengths = pc.binary_length(frames).to_numpy().astype(np.int64)
+            ends = [known[0].as_py(), known[-1].as_py()] if len(known) else [None, None]
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            lists = [keys, pa.array(n), pa.array(start + np.cumsum(n) - n), pa.array(np.concatenate([[0], np.cumsum(lengths)]))]
+            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int64()), *(pa.array([e], pa.int64()) for e in ends), *map(one, lists), pa.array([b"".join(frames.to_pylist())], pa.binary()), pa.array([digest])]
+            start, block = start + int(n.sum()), block + 1
+            held, docs_held, weight = [], 0, 0
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for b in batches:
-            for s, k, n, f in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if held and (s != shard or len(held) >= BLOCK_DOCS or weight >= BLOCK_BYTES):
+            shards = b.column(0).to_numpy()
+            bytes_to = np.cumsum(pc.binary_length(b.column(3)).to_numpy().astype(np.int64))
+            i = 0
+            while i < b.num_rows:
+                if shards[i] != shard:
+                    if held:
+                        yield emit()
+                    shard, block, start = int(shards[i]), 0, 0
+                before = bytes_to[i - 1] if i else 0
+                j = min(i + BLOCK_DOCS - docs_held, int(np.searchsorted(shards, shard, "right")), int(np.searchsorted(bytes_to, before + BLOCK_BYTES - weight)) + 1)
+                held.append(b.slice(i, j - i))
+                docs_held, weight, i = docs_held + j - i, weight + int(bytes_to[j - 1] - before), j
+                if docs_held >= BLOCK_DOCS or weight >= BLOCK_BYTES:
                     yield emit()
-                    held, weight, block = [], 0, block + 1
-                if s != shard:
-                    shard, block, start = s, 0, 0
-                held.append((k, n, start, f))
-                start, weight = start + n, weight + len(f)
         if held:
             yield emit()
 
@@ -152,7 +168,7 @@ def _frames(spark: SparkSession, path: str, blocks: DataFrame, digests_only: boo
                 ids = [np.frombuffer(expand.decompress(raw[at[i] : at[i + 1]]), f"<u{width}").astype("<u4") for i in some]
                 if [len(x) for x in ids] != [r["n_tokens"][i] for i in some]:
                     raise ValueError("a frame doesn't hold as many ids as its index says")
-                last = pa.array([crc32(x.tobytes()) for x in ids], pa.int64()) if digests_only else pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
+                last = pa.array([crc32(x) for x in ids], pa.int64()) if digests_only else pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
                 index = [pa.array([r[c][i] for i in some], pa.int64()) for c in ("doc_ids", "starts", "n_tokens")]
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(ids), pa.int32()), *index, last], names=["shard", "doc_id", "_start", "n_tokens", what])
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ CHUNK = 4096
 OVERLAP = 64
 #: Bytes of pieces and ids that a worker remembers, by estimate; beyond that it keeps those that recur, up to half as many.
 REMEMBERED_BYTES = 40 << 20
-#: What a remembered piece takes beside its characters and ids: the string's and the dictionary's entry.
-_ENTRY = 160
+#: What a remembered piece takes beside its characters and ids: its offsets, and its entry in the table that a call builds.
+_ENTRY = 48
+#: Words that are encoded as one text when they are learnt.
+JOINED = 200
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -195,33 +198,58 @@ class Encoder:
         self.exact = _splits_by_blanks(self.tok)
         self.special = "".join(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.width = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, int] = {}
+        vocab = self.tok.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose token begins with the byte-level sign of a space
+        self.spaced[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.words = pa.array([], pa.large_string())
         self.flat = np.zeros(0, self.width)
         self.at = np.zeros(1, np.int64)
         self.seen = np.zeros(0, np.int64)  # calls in which a piece occurred
-        self.weight = 0
 
-    def _add(self, pieces: list[str], ids: np.ndarray, count: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
-        self.flat = np.concatenate([self.flat, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
+    @property
+    def weight(self) -> int:
+        return self.words.nbytes + self.flat.nbytes + len(self.words) * _ENTRY
+
+    def _add(self, pieces: pa.Array, ids: list[np.ndarray], count: list[np.ndarray]) -> None:
+        self.words = pa.concat_arrays([self.words, pieces])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(count))])
         self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
-        self.weight += sum(map(len, pieces)) + len(pieces) * _ENTRY + len(ids) * self.width.itemsize
 
-    def learn(self, pieces: list[str]) -> None:
-        enc = self.tok.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        self._add(pieces, np.array(enc.ids, self.width), np.bincount(np.array(enc.word_ids, np.int64), minlength=len(pieces)))
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Encode and remember new pieces; their places among the remembered ones.
+
+        Words after a space are joined: a new one begins at each token that begins with the space. Other pieces are encoded one by one.
+        """
+        joins = np.array([p[0] == " " and p[1:].isalpha() for p in pieces])
+        plain, other = ([pieces[i] for i in np.flatnonzero(m).tolist()] for m in (joins, ~joins))
+        ids, count = [], []
+        joined = ["".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        for enc in self.tok.encode_batch_fast(joined, add_special_tokens=False) if joined else ():
+            x = np.array(enc.ids, self.width)
+            at = np.flatnonzero(self.spaced[x])
+            ids.append(x)
+            count.append(np.diff(np.append(at, len(x))))
+        if other:
+            enc = self.tok.encode(other, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(enc.ids, self.width))
+            count.append(np.bincount(np.array(enc.word_ids, np.int64), minlength=len(other)))
+        place = np.empty(len(pieces), np.int64)
+        place[joins], place[~joins] = np.arange(len(plain)), np.arange(len(plain), len(pieces))
+        place += len(self.words)
+        self._add(pa.array(plain + other, pa.large_string()), ids, count)
+        return place
 
     def forget(self) -> None:
         """Keep the pieces that occurred in the most calls, more than one, up to half of the bytes."""
-        words, n = list(self.known), np.diff(self.at)
-        size = np.fromiter(map(len, words), np.int64, len(words)) + _ENTRY + n * self.width.itemsize
+        n = np.diff(self.at)
+        size = pc.binary_length(self.words).to_numpy() + 8 + _ENTRY + n * self.width.itemsize
         order = np.argsort(-self.seen, kind="stable")
         keep = np.sort(order[(np.cumsum(size[order]) <= REMEMBERED_BYTES // 2) & (self.seen[order] > 1)])
-        ids, n, seen = self.flat[np.repeat(self.at[keep], n[keep]) + ramp(n[keep])], n[keep], self.seen[keep]
-        self.known, self.flat, self.at, self.seen, self.weight = {}, self.flat[:0], self.at[:1], self.seen[:0], 0
-        self._add([words[i] for i in keep.tolist()], ids, n)
-        self.seen = seen // 2
+        ids, words, seen, n = self.flat[np.repeat(self.at[keep], n[keep]) + ramp(n[keep])], self.words.take(pa.array(keep)), self.seen[keep] // 2, n[keep]
+        self.words, self.flat, self.at, self.seen = self.words[:0], self.flat[:0], self.at[:1], self.seen[:0]
+        self._add(words, [ids], [n])
+        self.seen = seen
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the n + 1 offsets of the texts."""
@@ -234,18 +262,20 @@ class Encoder:
             return np.zeros(0, self.width), np.zeros(len(offsets), np.int64)
         raw = pa.py_buffer(np.ascontiguousarray(data))
         pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), raw]).dictionary_encode()
-        words = pieces.dictionary.to_pylist()
         if self.weight > REMEMBERED_BYTES:
             self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
-        own = np.array(list(map(self.known.__getitem__, words)), np.int64)
+        own = pc.index_in(pieces.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            own[new] = self.learn(pieces.dictionary.take(pa.array(new)).to_pylist())
         self.seen[own] += 1
         place = own[np.asarray(pieces.indices)]
-        n = self.at[place + 1] - self.at[place]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return self.flat[np.repeat(self.at[place], n) + ramp(n)], ends[np.searchsorted(cuts, offsets)]
+        start = self.at[place]
+        n = self.at[place + 1] - start
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1])
+        where += np.repeat(start - (ends - n), n)
+        return self.flat[where], np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
 
 
 _OPEN: dict = {}
