@@ -63,6 +63,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_added(df: DataFrame, names: list[str], added: list[str]) -> DataFrame:
+    """df, whose columns are those of docs and then the added ones, by these names; a column of docs that is named like an
+    added one is left out."""
+    places = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return places.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate([*names, *added]) if i >= len(names) or n not in added))
+
+
 def integer_key(docs: DataFrame, key: str):
     """The key as a long column; an id of another type than integers is refused when the plan is made."""
     kind = docs.schema[key].dataType.typeName()

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch
+from .common import discard, partitions, scratch, with_added
 
 #: Words that a block holds on average.
 BLOCK_WORDS = 20_000
 #: No source is repeated more often.
 REPEATS = 3.0
-#: Multiplier of a source's block ranks; a prime, so that it is coprime to any smaller or other count.
-_PRIME = 2_147_483_647
+#: Rounds of the keyed permutation, and steps after which it must have come back into its range.
+ROUNDS, WALK = 3, 40
+#: Blocks whose words are summed first, so that the search for a source's last block meets few rows at a time.
+RUN = 1024
 
 
 def word_count(text):
@@ -71,21 +73,49 @@ def _draw(have: np.ndarray, n: int, rng) -> np.ndarray:
     out, rest = np.zeros_like(have), int(have.sum())
     for i, h in enumerate(have):
         rest -= int(h)
-        out[i] = n - out[:i].sum() if not rest else rng.hypergeometric(int(h), rest, n - int(out[:i].sum())) if n > out[:i].sum() and h else 0
+        out[i] = n - out[:i].sum() if not rest else _hypergeometric(int(h), rest, n - int(out[:i].sum()), rng) if n > out[:i].sum() and h else 0
     return out
 
 
+def _hypergeometric(good: int, bad: int, n: int, rng) -> int:
+    """One draw; beyond the range of the exact generator its normal limit, kept within the possible values."""
+    if good + bad < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    p = good / (good + bad)
+    spread = math.sqrt(n * p * (1 - p) * (good + bad - n) / (good + bad - 1))
+    return min(max(round(rng.normal(n * p, spread)), n - bad, 0), good, n)
+
+
+def permuted(index: Column, count: Column, key: Column) -> Column:
+    """A keyed permutation of 0 .. count - 1: a Feistel network over a grid of at least count cells, walked until it is inside."""
+    a = F.greatest(F.ceil(F.sqrt(count)).cast("long"), F.lit(1))
+    b = F.greatest(F.ceil(count / a).cast("long"), F.lit(1))
+
+    def once(x: Column) -> Column:
+        state = F.struct(F.pmod(x, a).alias("l"), F.call_function("div", x, a).alias("r"))
+        for i in range(ROUNDS):
+            half = F.transform(F.array(state), lambda s, i=i: F.struct(F.pmod(s["l"] + F.pmod(F.xxhash64(key, F.lit(2 * i), s["r"]), a), a).alias("l"), s["r"].alias("r")))
+            state = F.transform(half, lambda s, i=i: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(key, F.lit(2 * i + 1), s["l"]), b), b).alias("r")))[0]
+        return F.transform(F.array(state), lambda s: s["r"] * a + s["l"])[0]
+
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALK)), once(index), lambda x, _: F.when(x < count, x).otherwise(once(x)))
+    return F.when(walked < count, walked).otherwise(F.raise_error(F.lit("the permutation left its range")))
+
+
 def mix_plan(docs: DataFrame, weights: dict | None = None, total: float | None = None, shards: int | None = None, seed: int = 7, text: str = "text", key: str = "doc_id", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Which documents the mix takes, how often, and where each copy goes, without the texts.
 
-    A source's documents are permuted by a hash and cut into blocks. Its target is a number of whole
-    passes plus part of one; the part is whole blocks in permuted order, then documents of one more block
-    that still fit, and the one other document whose size is nearest to what is lacking. The splitting tree deals all block copies exactly among the shards; a source's permuted blocks
-    go to the shards in disjoint runs. Returns key, source, size, source_size, target, copies (array of
-    (shard, place); place orders a shard's copies at random) and taken = size times the number of copies.
-
-    Null and empty texts have size 0. Null sources are a source of their own. Equal rows share a hash and are
-    taken alike; an empty table gives an empty plan. Sources and their block counts come to the
+    A source's documents are dealt to blocks by a hash. Its target is a number of whole
+    passes plus part of one; the part is whole blocks, then documents of one more block
+    that still fit, and the one other document whose size is nearest to what is lacking, a unit of its own. The splitting tree deals all block
+    copies exactly among the shards (see split_tree); a source's block copies are permuted by a key and go
+    to the shards in disjoint runs of the tree's quotas. Returns key, source, size, source_size, target, copies (array of
+    (shard, rank, place): rank is the block copy's place in its source's permuted order, and place orders a shard's copies at random), taken =
+    size times the number of copies, and _h (the document's hash).
+
+    Null and empty texts have size 0 and are dealt like others. Null sources are a source of their own. Equal rows share a hash and are
+    taken alike; null keys are keys; a very long text is one document of its size; an empty table gives an empty plan; further columns, whatever
+    their names, are dropped. Sources and their block counts come to the
     driver, one row each: weights are given per source there. No window or group holds a whole source.
     """
     spark = docs.sparkSession
@@ -119,36 +149,42 @@ def mix_plan(docs: DataFrame, weights: dict | None = None, total: float | None =
     off = F.abs(F.col("size") - F.col("_lack"))
     fill = {r["_source"]: r["h"] for r in left_out.where(off < F.col("_lack")).groupBy("_source").agg(F.min_by("_h", F.struct(off, F.col("_h"))).alias("h")).collect()}
 
-    counts = np.array([whole[s] * blocks[s] + (cut[s] + 1 if s in cut else 0) for s in order], np.int64)
-    bounds = np.cumsum(split_tree(counts, n, seed), axis=1) if len(order) else np.zeros((0, n))
-    salt = lambda s: int.from_bytes(hashlib.sha256(f"{seed}:{s!r}".encode()).digest()[:4])
-    extra = [(s, whole[s], cut.get(s, -1), ends.get(s), fill.get(s), int(c), salt(s) % max(1, int(c)), [int(x) for x in b[:-1]]) for s, c, b in zip(order, counts, bounds, strict=True)]
-    more = spark.createDataFrame(extra, f"_s {docs.schema[source].dataType.simpleString()}, _whole int, _last long, _end long, _fill long, _count long, _salt long, _bounds array<long>")
+    counts = np.array([whole[s] * blocks[s] + (cut[s] + 1 if s in cut else 0) + (s in fill) for s in order], np.int64)
+    quotas = split_tree(counts, n, seed) if len(order) else np.zeros((0, n), np.int64)
+    extra = [(s, whole[s], cut.get(s, -1), ends.get(s), fill.get(s), int(c), i, [int(x) for x in np.cumsum(q)[:-1]]) for i, (s, c, q) in enumerate(zip(order, counts, quotas, strict=True))]
+    more = spark.createDataFrame(extra, f"_s {kind}, _whole int, _last long, _end long, _fill long, _count long, _no int, _bounds array<long>")
     full = dealt.join(F.broadcast(more), dealt["_source"].eqNullSafe(more["_s"]))
-    partial = (F.col("_block") < F.col("_last")) | ((F.col("_block") == F.col("_last")) & (F.col("_h") <= F.col("_end"))) | (F.col("_h") == F.col("_fill"))
-    times = F.col("_whole") + F.when(partial, 1).otherwise(0)
-    copies = F.expr(f"""transform(filter(sequence(0, _whole), e -> e < _times), e -> struct(
-        size(filter(_bounds, b -> b <= pmod((e * _blocks + _block) * {_PRIME} + _salt, _count))) AS shard,
-        xxhash64({seed}, e, _h) AS place))""")
-    return (
-        full.withColumn("_times", times)
-        .withColumn("copies", copies)
-        .select(F.col("_key").alias(key), F.col("_source").alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.size("copies")).alias("taken"), F.col("_h"))
-    )
+    partial = (F.col("_block") < F.col("_last")) | ((F.col("_block") == F.col("_last")) & (F.col("_h") <= F.col("_end")))
+    part = F.when(F.coalesce(partial, F.lit(False)), F.array(F.col("_whole") * F.col("_blocks") + F.col("_block")))
+    last = F.when(F.coalesce(F.col("_h") == F.col("_fill"), F.lit(False)), F.array(F.col("_count") - 1))
+    passes = F.transform(F.filter(F.sequence(F.lit(0), F.col("_whole")), lambda e: e < F.col("_whole")), lambda e: e * F.col("_blocks") + F.col("_block"))
+    units = F.concat(passes, F.coalesce(part, last, F.array().cast("array<bigint>")))
+    # each document of a block computes the same rank for it, so no table of blocks has to be joined
+    ranked = F.transform(units, lambda u: permuted(u, F.col("_count"), F.xxhash64(F.lit(seed), F.col("_no"))))
+    copies = F.transform(ranked, lambda r, i: F.struct(F.size(F.filter("_bounds", lambda b: b <= r)).alias("shard"), r.alias("rank"), F.xxhash64(F.lit(seed), i, F.col("_h")).alias("place")))
+    return full.withColumn("copies", copies).select(F.col("_key").alias(key), F.col("_source").alias(source), "size", "source_size", "target", "copies", (F.col("size") * F.size("copies")).alias("taken"), F.col("_h"))
 
 
 def _block_cuts(spark, sums: DataFrame, order: list, rest: dict, kind: str) -> DataFrame:
     """(source, _cut, _need): the block in which the running sum of a source reaches its rest, and the words still needed there.
 
-    The sums are one row a block, so one source's blocks are few even where it holds a third of all rows.
+    Found by runs of RUN * RUN blocks first, then runs of RUN in that one, then blocks: a source of 10^9 blocks has a thousand rows at each step.
     """
     from pyspark.sql import Window
 
+    sums = scratch(sums, "mix-blocks")
     want = spark.createDataFrame([(s, float(rest[s])) for s in order if rest[s] > 0], f"_s {kind}, _rest double")
-    run = F.sum("w").over(Window.partitionBy("_source").orderBy("_block"))
-    at = sums.withColumn("_run", run).join(F.broadcast(want), F.col("_source").eqNullSafe(F.col("_s")))
-    last = at.where((F.col("_run") >= F.col("_rest")) & (F.col("_run") - F.col("w") < F.col("_rest")))
-    return scratch(last.select("_source", F.col("_block").alias("_cut"), (F.col("_rest") - F.col("_run") + F.col("w")).alias("_need")), "mix-cuts")
+    inside = sums
+    for width in (RUN * RUN, RUN, 1):
+        runs = inside.groupBy("_source", F.floor(F.col("_block") / width).alias("_run_no")).agg(F.sum("w").alias("w"))
+        at = runs.withColumn("_run", F.sum("w").over(Window.partitionBy("_source").orderBy("_run_no"))).join(F.broadcast(want), F.col("_source").eqNullSafe(F.col("_s")))
+        last = at.where((F.col("_run") >= F.col("_rest")) & (F.col("_run") - F.col("w") < F.col("_rest")))
+        found = last.select("_s", "_run_no", (F.col("_rest") - F.col("_run") + F.col("w")).alias("_need")).collect()  # a row a source
+        want = spark.createDataFrame([(r["_s"], float(r["_need"])) for r in found], f"_s {kind}, _rest double")
+        some = spark.createDataFrame([(r["_s"], r["_run_no"]) for r in found], f"_t {kind}, _no long")
+        inside = sums.join(F.broadcast(some), F.col("_source").eqNullSafe(F.col("_t")) & (F.floor(F.col("_block") / width) == F.col("_no"))).select(*sums.columns)
+    discard(sums)
+    return spark.createDataFrame([(r["_s"], r["_run_no"], float(r["_need"])) for r in found], f"_source {kind}, _cut long, _need double")
 
 
 def _hash_cuts(inside: DataFrame) -> DataFrame:
@@ -165,12 +201,18 @@ def _hash_cuts(inside: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 7, text: str = "text", key: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The mixed documents: every copy is a row, with docs' columns and its _shard, in random order within the shard.
 
-    See mix_plan for the rules. Texts are moved once, to their shards.
+    See mix_plan for the rules and odd rows. Texts are moved once, to their shards. Columns of docs keep their names and values; one that is named
+    _shard is left out.
     """
     plan = mix_plan(docs, seed=seed, text=text, key=key, source=source, **how)
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), F.col(text))).withColumn("_s", F.col(source))
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*inner)
+    at = lambda c: F.col(inner[names.index(c)])
+    keyed = rows.withColumn("_h", F.xxhash64(F.lit(seed), at(key), at(text))).withColumn("_s", at(source))
     # equal rows have equal plans; one of them is joined to all
     one = plan.select(F.col("_h").alias("_ph"), F.col(source).alias("_ps"), "copies").where(F.size("copies") > 0).dropDuplicates(["_ph", "_ps"])
     taken = keyed.join(one, (keyed["_h"] == one["_ph"]) & keyed["_s"].eqNullSafe(one["_ps"])).withColumn("_copy", F.explode("copies"))
     n = how.get("shards") or partitions(docs.sparkSession)
-    return taken.select(*docs.columns, F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place")).repartition(n, "_shard").sortWithinPartitions("_shard", "_place").drop("_place")
+    dealt = taken.select(*inner, F.col("_copy.shard").alias("_shard"), F.col("_copy.place").alias("_place")).repartition(n, "_shard").sortWithinPartitions("_shard", "_place").drop("_place")
+    return with_added(dealt, names, ["_shard"])

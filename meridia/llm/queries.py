@@ -24,7 +24,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.col("copies.shard").alias("shards"), F.col("copies.rank").alias("ranks"), F.col("copies.place").alias("places"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
