@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, slices, text_buffer
+from .common import CACHES, begin, scratch, slices, text_buffer, with_added
 
 #: Labelled rows that are used for fitting at most: those with the least hashes of their ids.
 TRAINING_ROWS = 20_000
-#: Features that are kept: association with the label (log-likelihood ratio) of at least so much.
-ASSOCIATION = 12.0
-FEATURES = 4096
+#: Defaults of the classifier's size (see fit): least association of a feature with the label (log-likelihood ratio), number of features,
+#: and training documents that a feature occurs in.
+ASSOCIATION, FEATURES, LEAST_ROWS = 12.0, 4096, 3
 #: Code points of a word that prefix features use.
 PREFIXES = (4, 5, 6, 7)
 
@@ -29,15 +29,16 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "aeiou", "_": "",
     "-": "", ".": "", "'": "", "~": "", "^": "",
 }
-#: Log-probabilities of the channel: a sign for a letter, a dropped sign, a letter repeated on purpose.
-SIGN, DROP, REPEAT = -1.0, -0.5, -0.7
+#: Log-probabilities of the channel: a sign for a letter, a dropped sign, a sign that is meant as it stands, a letter repeated on purpose.
+SIGN, DROP, LITERAL, REPEAT = -1.0, -0.5, -1.0, -0.7
 _INNER = re.escape("".join(SIGNS))
-#: Tokens that may be disguised: signs between letters, a letter three times, or letters one by one.
-_LEET = re.compile(rf"(?=[a-z{_INNER}]*[a-z])[a-z@$!|+(0-9](?:[a-z{_INNER}]*[a-z@$!|0-9])")
-_SUSPECT = re.compile(rf"[a-z][{_INNER}]+[a-z]|[0-9@$!|+(][a-z]|[a-z][0-9@$]|([^\W\d_])\1\1")
+#: Runs of letters of any script and signs, and what makes a run look disguised: a sign between letters, before or after a letter, or signs
+#: next to signs beside a letter, or a letter three times.
+_RUN = re.compile(rf"(?:[^\W\d_]|[{_INNER}])+")
+_SUSPECT = re.compile(rf"[^\W\d_][{_INNER}]+[^\W\d_]|[0-9@$!|+(*#][^\W\d_]|[^\W\d_][0-9@$!|+]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[0-9@$!|])(?:[ .\-_*]{1,2}(?:[^\W\d_]|[0-9@$!|])){3,}(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
-CLASSES = 28  # 0: no letter, 1-26: a-z, 27: bytes beyond ASCII
+CLASSES = 28  # 0: no letter, 1-26: a-z, 27: characters beyond ASCII
 
 
 def _class_table() -> np.ndarray:
@@ -67,7 +68,7 @@ class CharacterModel:
         for whole in batches:
             for b in slices(whole, "_text"):
                 data, off = text_buffer(b.column(0))
-                c = _TABLE[data]
+                c = _TABLE[data[(data & 0xC0) != 0x80]]  # the first byte of each character
                 if len(c) > 2:
                     total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=len(total))
         at = np.flatnonzero(total)
@@ -76,8 +77,8 @@ class CharacterModel:
     def decode(self, token: str) -> str:
         """The likeliest word behind a token: Viterbi over the lattice of letters that its signs may stand for.
 
-        Runs of one letter may stand for one or two of it. The state is the last two letter classes; the cost is
-        linear in the length of the token.
+        A sign may stand for a letter, for nothing, or for itself, which ends a word. Runs of one letter may stand for one or two of
+        it. The state is the last two letter classes; the cost is linear in the length of the token.
         """
         runs: list[tuple[str, int]] = []
         for ch in token:
@@ -87,13 +88,16 @@ class CharacterModel:
                 runs.append((ch, 1))
         best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for ch, n in runs:
-            options = [(ch, 0.0)] if ch.isalpha() else [(x, SIGN) for x in SIGNS.get(ch, "")] + [("", DROP * n)]
+            options = [(ch, 0.0)] if ch.isalpha() else [(x, SIGN) for x in SIGNS.get(ch, "")] + [("", DROP * n), (ch, LITERAL)]
             step: dict = {}
             for (a, b), (score, path) in best.items():
                 for x, cost in options:
                     if not x:
                         self._keep(step, (a, b), score + cost, path)
                         continue
+                    if x is ch and not ch.isalpha():
+                        self._keep(step, (b, 0), score + cost + self.log[a][b][0], (path, ch * n))
+                        continue
                     c = _letter(x)
                     once = score + cost + self.log[a][b][c]
                     self._keep(step, (b, c), once + (REPEAT if n > 2 else 0.0 if n == 1 else REPEAT), (path, x))
@@ -127,52 +131,49 @@ def character_model(docs: DataFrame, text: str = "text") -> CharacterModel:
     return CharacterModel(counts)
 
 
+def _runs(token: str) -> list[str]:
+    """The runs of letters and signs of a token that look disguised."""
+    return [m for m in _RUN.findall(token) if _SUSPECT.search(m)]
+
+
 class Restorer:
-    """Words of a text, with disguised ones restored; decoded tokens are remembered."""
+    """Restores texts; decoded tokens are remembered, KNOWN of them at most."""
+
+    KNOWN = 20_000
 
     def __init__(self, model: CharacterModel):
         self.model, self.known = model, {}
 
-    def word(self, token: str) -> str:
+    def token(self, token: str) -> str:
+        """The token with its disguised runs decoded."""
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > 50_000:
+            if len(self.known) >= self.KNOWN:
                 self.known.clear()
-            got = self.known[token] = self.model.decode(token)
+            got = self.known[token] = _RUN.sub(lambda m: self.model.decode(m.group()) if _SUSPECT.search(m.group()) else m.group(), token)
         return got
 
-    def words(self, text: str) -> set[str]:
-        """Distinct lower-cased words of the text, and those that its disguised tokens stand for."""
-        text = text.lower()
-        parts = set(text.split())
-        found: set[str] = set()
-        odd = []
-        for p in parts:
-            if p.isalpha():
-                found.add(p)
-            else:
-                odd.append(p)
-        for p in odd:
-            found.update(_WORD.findall(p))
-        for p in odd + [p for p in found if _tripled(p)]:
-            if _SUSPECT.search(p):
-                for m in _LEET.findall(p) if not p.isalpha() else [p]:
-                    found.update(_WORD.findall(self.word(m)))
-        for m in _SPACED.finditer(text):
-            found.add(self.word(re.sub(r"[ .\-_*]", "", m.group())))
-        return found
-
     def restored(self, text: str) -> str:
-        """The text in lower case with every disguised token replaced by its decoding."""
-        text = _SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_*]", "", m.group())), text.lower())
-        return re.sub(r"\S+", lambda m: _LEET.sub(lambda t: self.word(t.group()), m.group()) if _SUSPECT.search(m.group()) else m.group(), text)
+        """The text in lower case, with letters that stand apart put together and every disguised run replaced by its decoding."""
+        text = _SPACED.sub(lambda m: self.token(re.sub(r"[ .\-_*]", "", m.group())), text.lower())
+        odd = [p for p in set(text.split()) if (not p.isalpha() or _TRIPLE.search(p)) and _SUSPECT.search(p)]
+        changed = {p: new for p in odd if (new := self.token(p)) != p}
+        return re.sub(r"\S+", lambda m: changed.get(m.group(), m.group()), text) if changed else text
 
 
+#: The worker's restorer, given back when another operator takes over the worker.
+_RESTORERS: dict[str, Restorer] = {}
+CACHES.append(_RESTORERS)
 _TRIPLE = re.compile(r"(.)\1\1")
 
 
-def _tripled(p: str) -> bool:
-    return _TRIPLE.search(p) is not None
+def words_of(restored: str) -> set[str]:
+    """Distinct words of a restored text: runs of letters."""
+    parts = set(restored.split())
+    found = {p for p in parts if p.isalpha()}
+    for p in parts - found:
+        found.update(_WORD.findall(p))
+    return found
 
 
 # --- the classifier ---------------------------------------------------------------------------
@@ -195,13 +196,13 @@ class Scorer:
     def __init__(self, model: CharacterModel, weights: dict[str, float], bias: float):
         self.model, self.weights, self.bias = model, weights, bias
         self.names = frozenset(weights)
-        self.restorer: Restorer | None = None
         self.stems = {n: frozenset(w[:-1] for w in weights if w.endswith("*") and len(w) == n + 1) for n in PREFIXES}
         self.whole = frozenset(w for w in weights if not w.endswith("*"))
 
     def score(self, text: str) -> float:
-        self.restorer = self.restorer or Restorer(self.model)
-        words = self.restorer.words(text)
+        if "" not in _RESTORERS or _RESTORERS[""].model is not self.model:
+            _RESTORERS[""] = Restorer(self.model)
+        words = words_of(_RESTORERS[""].restored(text))
         hit = [self.weights[w] for w in words & self.whole]
         for n, stems in self.stems.items():
             if stems:
@@ -209,13 +210,20 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(max(self.bias + sum(hit), -30.0), 30.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = TRAINING_ROWS, seed: int = 1) -> Scorer:
+def fit(
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", rows: int = TRAINING_ROWS, seed: int = 1,
+    association: float = ASSOCIATION, most: int = FEATURES, least: int = LEAST_ROWS,
+) -> Scorer:
     """Learn from labelled documents outside the held-out fifth: at most ``rows`` of them, those with the least id hashes.
 
-    Executors turn texts into feature sets and count in how many documents of each label a feature occurs; only
-    features with a strong association come to the driver, FEATURES at most, and then each
-    training document's indices of these. A ridge-penalised logistic regression weighs them. The character
+    Executors restore the texts, turn them into feature sets and count in how many documents of each label a feature occurs. The model is over
+    features that raise the rate of the label: in ``least`` training documents or more, with a log-likelihood ratio of ``association`` or more, and
+    of these the ``most`` strongest; larger bounds give a larger model, in the driver too, which gets these features and each
+    training document's indices of them. A ridge-penalised logistic regression weighs them. The character
     model is counted over all documents. Without labelled rows every text gets score 0.
+
+    Null labels and keys are left out; a key with several labels has the greatest; a label without document and a document without label are
+    not used; null and empty texts have no features; repeated rows count as often as they occur; further columns play no part.
     """
     spark = docs.sparkSession
     model = character_model(docs, text)
@@ -227,21 +235,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         begin("toxicity")
         restorer = Restorer(model)
         for b in (x for whole in batches for x in slices(whole, "_text")):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(restorer.words(t or ""))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "f"])
-
-    from .common import scratch
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(words_of(restorer.restored(t or "")))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], names=["y", "f"])
 
     bags = scratch(sample.mapInArrow(sets, "y int, f array<string>"), "toxicity")
     total = {r["y"]: r["n"] for r in bags.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
         return Scorer(model, {}, -30.0 if not pos else 30.0)
-    by = bags.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where("n > 2")
+    by = bags.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
     n, p = F.col("n"), F.lit(pos / (pos + neg))
     share = F.col("a") / n
     part = lambda x, q: F.when(x > 0, x * F.log(x / q)).otherwise(0.0)
     strength = 2 * n * (part(share, p) + part(1 - share, 1 - p))
-    kept = [r["f"] for r in by.withColumn("g", strength).where((F.col("g") >= ASSOCIATION) & (share > p)).orderBy(F.desc("g"), "f").limit(FEATURES).collect()]
+    kept = [r["f"] for r in by.withColumn("g", strength).where((F.col("g") >= association) & (share > p)).orderBy(F.desc("g"), "f").limit(most).collect()]
     place = {f: i for i, f in enumerate(kept)}
     if not kept:
         rate = pos / (pos + neg)
@@ -270,8 +276,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 def toxicity(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
     """docs with a column score: the probability that the restored text is toxic.
 
-    Null and empty texts have no features and get the base score. Repeated rows get equal scores; rows and columns stay as they
-    are; no shuffle. The scorer, of bounded size (FEATURES weights and CLASSES ** 3 numbers), is broadcast.
+    Null and empty texts have no features and get the base score; a very long text is scored whole, in one task. Repeated rows get equal
+    scores; an empty table stays empty; rows and columns stay as they are, but for one named score, which the result replaces; no
+    shuffle. The scorer, of bounded size (fit's ``most`` weights and CLASSES ** 3 numbers), is broadcast.
     """
     from pyspark.sql import types as T
 
@@ -288,7 +295,7 @@ def toxicity(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "s"])
 
     out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("s", T.DoubleType())]))
-    return out.toDF(*docs.columns, "score")
+    return with_added(out, docs.columns, ["score"])
 
 
 def crc_held_out(doc_id: int) -> bool:

@@ -114,18 +114,57 @@ def test_token_file_round_trip(spark, docs, empty, tok, tmp_path):
     assert tokenfile.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
-def test_mix(docs, empty):
+def test_mix(spark, docs, empty, monkeypatch):
     rows = mixing.mix_plan(docs, shards=3, block_words=50).collect()
     again = mixing.mix_plan(docs.repartition(5), shards=3, block_words=50).collect()
     key = lambda rs: sorted((str(r.doc_id), r["size"], str(r.copies)) for r in rs)
     assert key(rows) == key(again)
     assert len(rows) == docs.count() and all(r.taken == r["size"] * len(r.copies) <= 3 * r["size"] for r in rows)
     assert mixing.mix_plan(empty).count() == 0
-    out = mixing.mix(docs, shards=3, block_words=50)
-    assert out.count() == sum(len(r.copies) for r in rows)
+    clashing = docs.withColumnsRenamed({"size": "copies", "n_words": "_shard"})
+    out = mixing.mix(clashing, shards=3, block_words=50)
+    assert out.columns == ["doc_id", "text", "source", "copies", "_shard"]
+    assert out.count() == sum(len(r.copies) for r in rows) and {r.copies for r in out.collect()} == {"clash"} and {r._shard for r in out.collect()} <= {0, 1, 2}
     assert mixing.targets({"a": 10, "b": 100, None: 100}, {"a": 1, "b": 2, None: 3}) == {"a": 30, "b": 72, None: 108}
 
 
+@pytest.mark.parametrize("run", [1024, 2])
+def test_block_copies_follow_the_splitting_tree(spark, monkeypatch, run):
+    """Blocks of each source and shard are the tree's quotas, ranks are a permutation, and sources come near their targets."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    rows = [(i, prose(int(rng.integers(1, 40))), ["a", "b", "c", None][min(i % 7, 3)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    kept = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: seen.append(kept(*a)) or seen[-1])
+    plan = mixing.mix_plan(df, shards=5, block_words=60).collect()
+    (quotas,) = seen
+    source = {i: s for i, _, s in rows}
+    at, taken, goal = collections.defaultdict(dict), collections.Counter(), {}
+    for r in plan:
+        s = source[r.doc_id]
+        taken[s] += r.taken
+        goal[s] = r.target
+        for c in r.copies:
+            assert at[s].setdefault(c.rank, c.shard) == c.shard  # a block copy stays together
+    for s, q in zip(["a", "b", "c", None], quotas, strict=True):
+        per = collections.Counter(at[s].values())
+        assert max(at[s]) < q.sum() and all(per[k] <= q[k] for k in range(5))
+        assert len(at[s]) >= 0.8 * q.sum()  # a hashed block may hold no document
+        bounds = np.cumsum(q)
+        assert all(k == np.searchsorted(bounds, r, "right") for r, k in at[s].items())
+        assert abs(taken[s] - goal[s]) <= 20
+    assert [list(at["a"]) != sorted(at["a"])]
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 7, 18, 33, 42, 1000])
+def test_permuted_is_a_permutation_and_no_rotation(spark, count):
+    got = [r.p for r in spark.range(count).select(mixing.permuted(F.col("id"), F.lit(count).cast("long"), F.lit(5)).alias("p")).collect()]
+    assert sorted(got) == list(range(count))
+    if count > 6:
+        assert len({(b - a) % count for a, b in zip(got, got[1:], strict=False)}) > (3 if count > 10 else 1)
+
+
 def test_split_tree():
     counts = np.array([7, 0, 23, 11])
     out = mixing.split_tree(counts, 5, 3)
@@ -403,13 +442,61 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(df, toxicity.fit(empty, labels)).count() == len(rows)
 
 
-def test_a_sign_at_the_end_of_a_token_is_decoded():
-    """Words are those of the restored text, also where a token's last character is its only sign."""
+def model_of(seen):
+    c = lambda x: toxicity._letter(x) if x.isalpha() else 0
     counts = np.zeros(toxicity.CLASSES**3, np.int64)
-    seen = " idiot " * 50
-    for a, b, c in zip(seen, seen[1:], seen[2:], strict=False):
-        counts[(toxicity._TABLE[ord(a)] * toxicity.CLASSES + toxicity._TABLE[ord(b)]) * toxicity.CLASSES + toxicity._TABLE[ord(c)]] += 1
-    restorer = toxicity.Restorer(toxicity.CharacterModel(counts))
-    for token in ("idio7", "foo1", "trottel5", "idio7,"):
-        assert set(re.findall(r"[^\W\d_]+", restorer.restored(token))) <= restorer.words(token)
-    assert "idiot" in restorer.words("idio7")
+    for x, y, z in zip(seen, seen[1:], seen[2:], strict=False):
+        counts[(c(x) * toxicity.CLASSES + c(y)) * toxicity.CLASSES + c(z)] += 1
+    return toxicity.CharacterModel(counts)
+
+
+def test_a_sign_at_the_end_of_a_token_is_decoded():
+    restorer = toxicity.Restorer(model_of(" idiot " * 50))
+    assert restorer.restored("An idio7, AN 1D10T and an i d i o t") == "an idiot, an idiot and an idiot"
+    assert restorer.restored("12.50 or 3-4\n\tat 10.0.0.1") == "12.50 or 3-4\n\tat 10.0.0.1"
+
+
+def test_letters_beyond_ascii_are_decoded_whole():
+    restorer = toxicity.Restorer(model_of(" dümer кретин " * 50))
+    assert restorer.restored("düm3r") == "dümer"
+    assert toxicity._runs("düm3r кр@тин") == ["düm3r", "кр@тин"]
+
+
+def test_the_score_is_that_of_the_restored_text():
+    scorer = toxicity.Scorer(model_of(" idiot " * 50), {"idiot": 3.0, "idio": -3.0, "idi": 1.0}, 0.0)
+    assert scorer.score("idio7!") == scorer.score("idiot!") == scorer.score("i d i o t") != scorer.score("idio 7")
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    """Short tokens against every path of the lattice, tried one by one."""
+    model = model_of(" sad lad bad as lass " * 40)
+
+    def readings(runs):
+        if not runs:
+            yield 0.0, ""
+            return
+        ch, n = runs[0]
+        options = [(ch, 0.0)] if ch.isalpha() else [(x, toxicity.SIGN) for x in toxicity.SIGNS[ch]] + [(ch, toxicity.LITERAL), ("", toxicity.DROP * n)]
+        for x, cost in options:
+            for rest, tail in readings(runs[1:]):
+                if not x or x == ch and not ch.isalpha():
+                    yield cost + rest, x * n + tail
+                else:
+                    yield cost + (toxicity.REPEAT if n > 1 else 0.0) + rest, x + tail
+                    if n > 1:
+                        yield 2 * cost + (toxicity.REPEAT if n > 2 else 0.0) + rest, x + x + tail
+
+    def total(cost, word):
+        a = b = 0
+        for x in word + " ":
+            c = toxicity._letter(x) if x.isalpha() else 0
+            cost += model.log[a][b][c]
+            a, b = b, c
+        return cost
+
+    for token in ("b4d", "5ad", "l@55", "s_a-d", "l4sss", "8ad5", "a.b"):
+        runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", token)]
+        # a literal run is one step of class 0 for the model
+        best = max(total(c, re.sub(r"([^a-z])\1+", r"\1", w)) for c, w in readings(runs))
+        got = model.decode(token)
+        assert abs(max(total(c, re.sub(r"([^a-z])\1+", r"\1", w)) for c, w in readings(runs) if w == got) - best) < 1e-9, token
