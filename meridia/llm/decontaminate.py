@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, begin, ramp, scratch, slices, text_buffer
+from .common import FOLDED, U64, begin, ramp, slices, text_buffer, with_added
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text that one pass may broadcast; larger benchmarks are joined in blocks of about this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one pass; larger benchmarks are joined in blocks of about this size. A word of text makes about 100 bytes
+#: of index (its window's word ids, offset and owner, and the vocabulary), so the broadcast is about 70 MB at most.
+BLOCK_BYTES = 4 << 20
 
 
 class Index:
@@ -35,18 +36,28 @@ class Index:
         first[ids[::-1]] = np.arange(len(ids))[::-1]
         lower = bytes(data).lower()
         self.words = [lower[starts[i] : ends[i]] for i in first]
-        found: dict[tuple, set] = {}
-        for r, (item, _) in enumerate(items):
-            a, b = int(bounds[r]), int(bounds[r + 1])
-            k = min(window, b - a)
-            for i in range(a, b - k + 1) if k else ():
-                found.setdefault(tuple(ids[i : i + k].tolist()), set()).add(item)
-        self.windows = sorted(found, key=lambda w: (len(w), w))
-        owners = [sorted(found[w], key=lambda x: (x is None, x)) for w in self.windows]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
+        ids = ids.astype(np.int32)
+        count = np.diff(bounds)
+        parts, owners = [], []  # the windows of each length, as rows of word ids, and the items that they come from
+        for k in sorted({min(window, int(c)) for c in count.tolist()} - {0}):
+            rows = np.flatnonzero(np.minimum(count, window) == k)
+            m = count[rows] - k + 1
+            start = np.repeat(bounds[rows], m) + ramp(m)
+            win, back = np.unique(np.ascontiguousarray(ids[start[:, None] + np.arange(k)]), axis=0, return_inverse=True)
+            parts.append(win)
+            owners.append((back.ravel(), np.repeat(rows, m)))
+        self.length = np.repeat([p.shape[1] for p in parts], [len(p) for p in parts]).astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
-        self.tokens = np.array([x for w in self.windows for x in w], np.int64)
-        self.items = [[x for x in o if x is not None] for o in owners]
+        self.tokens = np.concatenate([np.zeros(0, np.int32), *(p.ravel() for p in parts)])
+        # items of each window, compressed: indices into names
+        first = np.cumsum([0, *(len(p) for p in parts)])
+        pair = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([back + f, row], axis=1) for (back, row), f in zip(owners, first, strict=False))]), axis=0)
+        self.names = [None if i is None else str(i) for i, _ in items]
+        self.owner = pair[:, 1].astype(np.int32)
+        self.owned = np.searchsorted(pair[:, 0], np.arange(len(self.length) + 1))
+
+    def items_of(self, w: int) -> list[str]:
+        return [self.names[i] for i in self.owner[self.owned[w] : self.owned[w + 1]].tolist() if self.names[i] is not None]
 
     def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How often each word of the vocabulary occurs in a partition's documents."""
@@ -122,25 +133,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     Word counts over all documents choose the rarest word of each window. A broadcast holds at most block_bytes of benchmark
     text; a larger benchmark is joined block by block and the ranges are put together. One item longer than a block
-    makes a block of its own. Null texts count as empty, null items have no windows; repeated rows get equal results;
-    an empty benchmark leaves all documents clean.
+    makes a block of its own. Null texts count as empty; a null item's windows hit, but it is not among the items; repeated rows
+    get equal results; a very long text is taken whole, in one task; an empty benchmark leaves all documents clean, an empty table stays empty.
+    A column of docs named like an added one is replaced by it.
     """
     spark = docs.sparkSession
     sized = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t"))
     weight = sized.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-weight // block_bytes))
-    names = [c for c in docs.columns]
-    rows = docs
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*inner)
+    at = inner[names.index(text)]
+    texts = rows.select(F.col(at).alias("_text"))
     for k in range(blocks):
         part = [(r["i"], r["t"]) for r in sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()]
         index = Index(part, window)
         counts = np.zeros(len(index.vocab), np.int64)
         if len(counts):
-            for r in docs.select(F.col(text).alias("_text")).mapInArrow(index.count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            for r in texts.mapInArrow(index.count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
                 counts[r["word"]] = r["n"]
         index.lead(counts)
-        rows = _find(rows, spark.sparkContext.broadcast(index), text, k == blocks - 1)
-    return rows.select(*names, "n_words", "hits", "n_hit", "items", "contaminated")
+        rows = _find(rows, spark.sparkContext.broadcast(index), at, k == blocks - 1)
+    return with_added(rows, names, ["n_words", "hits", "n_hit", "items", "contaminated"])
 
 
 def _find(rows: DataFrame, shared, text: str, last: bool) -> DataFrame:
@@ -177,7 +192,7 @@ def _find(rows: DataFrame, shared, text: str, last: bool) -> DataFrame:
                     if any(bytes(data[starts[i] : ends[i]]).lower() != index.words[int(ids[i])] for i in range(s, s + int(index.length[w]))):
                         continue  # another word with the same hash
                     hits[r].append([s - int(bounds[r]), s - int(bounds[r]) + int(index.length[w])])
-                    items[r].update(str(x) for x in index.items[w])
+                    items[r].update(index.items_of(w))
                 merged = [_merge(x) for x in hits]
                 out = [b.column(columns.index(c)) for c in names]
                 if last:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, begin, grams, mix, partitions, range_bounds, shard_of, slices, text_buffer
+from .common import FOLDED, U64, begin, grams, mix, partitions, range_bounds, shard_of, slices, text_buffer, with_added
 
 #: Samples of a fingerprint; the likeness of two has a standard error of at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
@@ -95,7 +95,8 @@ def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES) ->
     """docs with a column fingerprint: 4 hex digits for each sample.
 
     Terms are pairs of consecutive words (lower-cased runs of digits, letters and bytes beyond ASCII; a text of one word has
-    that word as its term), weighted by their occurrences. Null counts as empty; texts without words share one fingerprint.
+    that word as its term), weighted by their occurrences. Null counts as empty; texts without words share one fingerprint; a very long text is
+    signed whole; repeated rows get equal fingerprints; an empty table stays empty; a column of docs named fingerprint is replaced.
     No shuffle.
     """
     from pyspark.sql import types as T
@@ -109,7 +110,7 @@ def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES) ->
                 yield pa.RecordBatch.from_arrays([*b.columns, _hex(_sign(b.column(at), samples))], names=[*b.schema.names, "f"])
 
     out = rows.mapInArrow(sign, T.StructType([*rows.schema.fields, T.StructField("f", T.StringType())]))
-    return out.toDF(*docs.columns, "fingerprint")
+    return with_added(out, docs.columns, ["fingerprint"])
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
@@ -117,8 +118,8 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
 
     The edited text has the last floor(n / 4) of n code points replaced by the first as many (or all) of the next document;
     after the last comes the first. Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
-    near_next. Null counts as empty; null keys come first; rows of equal keys are ordered by text; a
-    single document is its own next; an empty table gives an empty result.
+    near_next; further columns, whatever their names, are dropped. Null counts as empty; null keys come first; rows of equal keys are ordered by text; a
+    single document is its own next; an empty table gives an empty result; a very long text is one row of its task.
 
     One shuffle deals the texts to ranges of the key. The document that begins a range is also sent, as a
     look-ahead, to the range before it, so each task has all its documents' successors.

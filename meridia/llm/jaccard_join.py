@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, U64, begin, grams, lists, mix, partitions, ramp, scratch, slices, text_buffer
+from .common import FOLDED, U64, begin, grams, integer_key, lists, mix, partitions, ramp, scratch, slices, text_buffer
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -23,6 +23,8 @@ STEP = 16
 TOLERANCE = 1e-9
 #: Members of a candidate component that one task compares with as many others.
 BLOCK = 256
+#: Nodes of null keys lie below.
+_LOWEST = -(2**62)
 _ODD = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -204,6 +206,14 @@ class Verifier:
         return total[np.searchsorted(used, a), np.searchsorted(used, b)].astype(np.int64)
 
 
+def _node(docs: DataFrame, text: str, key: str):
+    """The key, or for a null key a number below all keys that the text's hash chooses."""
+    own = integer_key(docs, key)
+    hashed = F.lit(_LOWEST - 1) - F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2)
+    checked = F.when(own < _LOWEST, F.raise_error(F.lit("keys below -2^62 are not supported")).cast("long")).otherwise(own)
+    return F.coalesce(checked, hashed)
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Near-duplicates by the Jaccard similarity of sets of five-word shingles: (key, text_id, copies, n_links, class_id).
 
@@ -219,12 +229,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
        Only counts and spanning links leave a task; no pairs are emitted.
     3. Components of the spanning links are the classes.
 
-    Rows with equal keys and texts are copies; one key with several texts is a node that has all of their links. A null key
-    becomes a node of its own, by the text's hash, and null in the result's key.
+    The key must be an integer above -2 ** 62. Rows with equal keys and texts are copies; one key with several texts is a node that has all of their
+    links. A null key becomes a node of its own below all keys, by the text's hash, and null in the result's key. A very long text is signed and
+    compared whole, in one task; an empty table gives an empty result; further columns, whatever their names, are dropped.
     """
     spark = docs.sparkSession
-    negative = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1) - 1
-    base = docs.select(F.coalesce(F.col(key).cast("long"), negative).alias("node"), F.col(text).alias("_text"))
+    base = docs.select(_node(docs, text, key).alias("node"), F.col(text).alias("_text"))
     signed = scratch(base.mapInArrow(_sign, "node long, h1 long, h2 long, n long, bands array<long>"), "join-signed")
     reps = scratch(signed.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "node").alias("bands")), "join-reps")
 
@@ -253,7 +263,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     all_docs = signed.select("node", "h1", "h2", "n").join(result, ["h1", "h2", "n"])
     return all_docs.select(
         F.col("node").alias("_node"),
-        F.when(F.col("node") >= 0, F.col("node")).alias(key),
+        F.when(F.col("node") >= _LOWEST, F.col("node")).alias(key),
         F.col("rep").alias("text_id"),
         "copies",
         (F.col("links") + F.col("copies") - 1).alias("n_links"),
@@ -267,7 +277,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     Texts without words are copies of each other, so one of them stays. Of repeated rows of a kept key all stay.
     """
     joined = jaccard_join(docs, key=key, **how)
-    text = how.get("text", "text")
-    negative = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1) - 1
     kept = joined.where("_node = class_id").select("_node").distinct()
-    return docs.withColumn("_node", F.coalesce(F.col(key).cast("long"), negative)).join(kept, "_node", "left_semi").select(*docs.columns)
+    names = docs.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = docs.select(*names, _node(docs, how.get("text", "text"), key).alias("_node")).toDF(*inner, "_node")
+    return rows.join(kept, "_node", "left_semi").select(*inner).toDF(*names)

@@ -24,14 +24,20 @@ ADDED = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
 KINDS = [*BASE, *ADDED]
-#: What must occur in a text for any added kind; most texts have none of it.
-_HINT = r"(?i)[(\[]at[)\]]|[0-9][).\x20-]{1,2}[0-9]{2}|\b[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"
+#: What every match of an added kind contains; most texts have none of it.
+_HINT = r"(?i)[(\[]at[)\]]|[0-9][).\x20-]{1,2}[0-9]{2}|[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"
 
 # The gazetteer and the context words of the labelers.
 TOP_DOMAINS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "it", "eu"]
 IBAN_COUNTRIES = ["AT", "BE", "CH", "CZ", "DE", "DK", "ES", "FI", "FR", "GB", "IE", "IT", "LU", "NL", "NO", "PL", "PT", "SE"]
+GIVEN_NAMES = [
+    "alice", "anna", "antonio", "bob", "carlos", "carmen", "charles", "claire", "david", "elena", "emma", "eva", "francois", "hans", "isabel", "jacques", "james", "jane",
+    "jean", "joe", "john", "jose", "juan", "julia", "karl", "laura", "linda", "louis", "lucia", "luis", "maria", "marie", "mark", "mary", "michael", "miguel", "olga", "paul",
+    "pedro", "peter", "pierre", "robert", "sarah", "sofia", "stefan", "susan", "thomas", "ursula", "william", "wolfgang",
+]
 FOR_CONTEXT = r"(?i)\b(?:tel|phone|call|mobile|cell|fax|mail|contact|reach|write|ssn|social|iban|account|konto|telefon|correo)\b"
 AGAINST_CONTEXT = r"(?i)\b(?:isbn|version|order|item|page|pages|sha|id|ref|no|nr|section|chapter)\b"
+_NAMED = r"(?i)\b(?:" + "|".join(GIVEN_NAMES) + r")\b"
 CONTEXT = 40
 LABELERS = ["pattern", "gazetteer", "context", "against", "structure"]
 
@@ -98,7 +104,7 @@ def _votes(x: Column, t: Column) -> Column:
     digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     pattern = F.when(name == "hidden_email", F.when(m.rlike(r"(?i)[(\[]at[)\]].*[(\[.]"), 2).otherwise(1)).when(name == "local_phone", F.when(digits.between(9, 12), 2).otherwise(0)).otherwise(2)
     domain = F.lower(F.regexp_extract(m, r"([A-Za-z]+)$", 1))
-    gazetteer = F.when(name == "hidden_email", F.when(domain.isin(TOP_DOMAINS), 2).otherwise(0)).when(name == "iban", F.when(F.substring(m, 1, 2).isin(IBAN_COUNTRIES), 2).otherwise(0)).otherwise(1)
+    gazetteer = F.when(name == "hidden_email", F.when(domain.isin(TOP_DOMAINS), 2).otherwise(0)).when(name == "iban", F.when(F.substring(m, 1, 2).isin(IBAN_COUNTRIES), 2).otherwise(0)).when(before.rlike(_NAMED), 2).otherwise(1)
     context = F.when(before.rlike(FOR_CONTEXT), 2).otherwise(1)
     against = F.when(before.rlike(AGAINST_CONTEXT), 0).otherwise(1)
     structure = (
@@ -159,7 +165,9 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     context for, context against, structure). Counts of distinct vote patterns over all documents, a few hundred
     at most, come to the driver; expectation-maximisation gives the labelers' reliabilities and posteriors, a logistic
     classifier is fitted to these, and accepted candidates join the base spans. Null counts as empty; repeated rows get
-    equal spans; an empty table gives an empty result; further columns are dropped. No shuffle but that of the counts.
+    equal spans; without any candidate the model accepts nothing; an empty table gives an empty result; null keys are keys; further columns, whatever their
+    names, are dropped. A very long text is one row of its task, whose time grows with the square of its matches (positions are folded into an
+    array). No shuffle but that of the counts.
     """
     found = candidates(docs, text, key)
     voted = found.withColumn("voted", F.transform("more", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), _votes(x, F.coalesce(F.col("_t"), F.lit(""))).alias("v"), _shape(x).alias("h"))))

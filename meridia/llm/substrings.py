@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLAIN, U64, begin, grams, mix, partitions, powers, ramp, scratch, slices, text_buffer
+from .common import PLAIN, U64, begin, grams, integer_key, mix, partitions, powers, ramp, scratch, slices, text_buffer, with_added
 
 #: Words of a window; repeats of at least so many words are removed.
 WINDOW = 20
@@ -233,7 +233,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text: str =
 
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(whole).alias("twin"), whole.alias("_text"))
+    return docs.select(F.coalesce(integer_key(docs, key), F.lit(-(2**63))).alias("doc"), F.xxhash64(whole).alias("twin"), whole.alias("_text"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -241,8 +241,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tex
 
     Words are runs of characters other than ASCII blanks, unchanged. A word goes if some window of ``window`` words of its
     document covers it and the same words start earlier (smaller key, or same document and earlier). Windows are judged on
-    the input. Null texts have no words; shorter documents than a window lose nothing; rows that repeat a key and text are one
-    document and share its result; null keys come first; an empty table gives an empty result.
+    the input. The key must be an integer. Null texts have no words; shorter documents than a window lose nothing; a very long text is taken whole, in one
+    task; rows that repeat a key and text are one document and share its result; null keys come first; an empty table gives an empty
+    result. A column of docs named like an added one is replaced by it.
     """
     marks = repeats(docs, window, seed, text, key).groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "hi")).alias("_r"))
     names = docs.columns
@@ -267,7 +268,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tex
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*columns, "n", "r", "k"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType()), T.StructField("r", T.LongType()), T.StructField("k", T.StringType())])
-    return marked.mapInArrow(cut, schema).toDF(*names, "n_words", "n_removed", "kept")
+    return with_added(marked.mapInArrow(cut, schema), names, ["n_words", "n_removed", "kept"])
 
 
 _BLANKS = dict.fromkeys(range(0x09, 0x0E), " ")

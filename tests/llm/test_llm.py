@@ -213,6 +213,38 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.keep_one(docs).columns == docs.columns
 
 
+def test_jaccard_join_keeps_negative_keys_apart_from_null_ones(spark):
+    rows = [(-5, BASE), (None, BASE), (7, BASE), (-9, prose(50)), (None, prose(50))]
+    got = {r.doc_id: (r.copies, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-5] == got[7] == (3, 2) and got[-9] == (1, 0) and None in got
+    with pytest.raises(TypeError):
+        jaccard_join.jaccard_join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+ADDED = ["n_tokens", "n_removed", "kept", "n_lines", "n_hit", "hits", "items", "contaminated", "score", "fingerprint", "copies", "class_id", "_node", "doc", "twin", "_text", "_key", "_shard"]
+
+
+def test_columns_named_like_outputs(spark, docs):
+    """Every operator on a table that has columns named like its own: added columns replace them, others keep their values."""
+    table = docs.select("doc_id", "text", "source", "n_words", *(F.lit("own").alias(c) for c in ADDED))
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    scorer = toxicity.Scorer(model_of(" x "), {"the": 1.0}, 0.0)
+    n = table.count()
+    for out, own in (
+        (substrings.substring_dedup(table), ["n_words", "n_removed", "kept"]), (lines.line_dedup(table), ["n_lines", "n_removed", "kept"]),
+        (decontaminate.contamination(table, bench), ["n_words", "hits", "n_hit", "items", "contaminated"]), (toxicity.toxicity(table, scorer), ["score"]),
+        (fingerprints.fingerprints(table), ["fingerprint"]),
+    ):
+        assert out.columns == [c for c in table.columns if c not in own] + own
+        rows = out.select(*ADDED).collect()
+        assert len(rows) == n and all(r[c] == "own" for r in rows for c in ADDED if c not in own)
+        assert all(r[c] != "own" for r in rows for c in ADDED if c in own)
+    assert jaccard_join.keep_one(table).select(*ADDED).distinct().count() == 1
+    for out in (jaccard_join.jaccard_join(table), tokens.token_counts(table, tokens.tokenizer_path()), pii.find_pii(table), fingerprints.edited_fingerprints(table), mixing.mix_plan(table)):
+        assert out.count() == n
+    assert mixing.mix(table).where("copies <> 'own'").count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (5, 4), (4, 2), (9, 8), (20, 9)], "a long, b long")
     assert {r.node: r.component for r in components.components(edges).collect()} == {1: 1, 2: 1, 4: 1, 5: 1, 8: 8, 9: 8, 20: 8}
@@ -237,8 +269,8 @@ def test_substrings(spark, docs, empty):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.substring_dedup(df).collect()} == brute_substrings(rows)
     twice = substrings.substring_dedup(spark.createDataFrame([(1, PASSAGE), (1, PASSAGE)], "doc_id long, text string")).collect()
     assert [r.n_removed for r in twice] == [0, 0]
-    assert substrings.substring_dedup(docs.select("doc_id", "text")).count() == docs.count()
-    assert substrings.substring_dedup(empty.select("doc_id", "text")).count() == 0
+    assert substrings.substring_dedup(docs).count() == docs.count()
+    assert substrings.substring_dedup(empty).count() == 0
 
 
 def test_lines(spark, docs, empty):
@@ -375,12 +407,39 @@ def test_pii(spark, docs, empty):
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(empty).count() == 0
 
 
+def test_every_match_of_an_added_kind_has_the_hint():
+    java = lambda p: re.sub(r"([+*?}])\+", r"\1", p)  # noqa: E731  possessive quantifiers, which older engines lack
+    samples = ["account _DE44500105175407324931 end", "AB12CDEF3456GH", "x(55)123 4567", "(555) 12.3456", "123-45-6789", "joe(AT)site(dot)com", "call 555 123 4567"]
+    samples += ["".join(rng.choice(["(", ")", "at", "[", "]", "12", "345", "DE44", "AB12", "-", " ", ".", "com", "_"], 12)) for _ in range(8000)]
+    found = 0
+    for x in samples:
+        if any(re.search(java(p), x) for p in pii.ADDED.values()):
+            found += 1
+            assert re.search(pii._HINT, x), x
+    assert found > 100
+
+
+def test_reliabilities_of_labelers():
+    """Labelers that agree get a high reliability, one that votes at random a low one; the classifier follows the reliable ones."""
+    rnd = np.random.default_rng(2)
+    counts = collections.Counter()
+    for _ in range(4000):
+        y = rnd.random() < 0.5
+        vote = lambda right: str(2 * int(y == (rnd.random() < right)))  # noqa: E731, B023
+        counts["".join([vote(0.95), vote(0.9), vote(0.9), vote(0.5), "1"])] += 1
+    model = pii.SpanModel([(5, v, 1, n) for v, n in sorted(counts.items())])
+    good, bad = [model.reliability[k] for k in ("pattern", "gazetteer", "context")], model.reliability["against"]
+    assert min(good) > 0.85 and bad < 0.65
+    assert model.accept(5, "22201", 1) and not model.accept(5, "00021", 1)
+    assert not pii.SpanModel([]).weights
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, "one two"), (3, None), (4, ""), (5, prose(50)), (10, PASSAGE.upper()), (None, "the the the")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (1 << 20, 60):  # one block, and several
         got = collections.Counter()
-        for r in decontaminate.contamination(docs.select("doc_id", "text"), bench, block_bytes=size).collect():
+        for r in decontaminate.contamination(docs, bench, block_bytes=size).collect():
             got[r.doc_id, r.n_words, r.n_hit, tuple(r.items)] += 1
         want = collections.Counter()
         for r in docs.collect():
@@ -396,8 +455,8 @@ def test_decontamination(spark, docs, empty):
                                 found.add(str(item))
             want[r.doc_id, len(w), len(hit), tuple(sorted(found))] += 1
         assert got == want
-    assert decontaminate.contamination(docs.select("doc_id", "text"), bench.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.contamination(empty.select("doc_id", "text"), bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.contamination(empty, bench).count() == 0
 
 
 def test_fingerprints(spark, docs, empty):
@@ -500,3 +559,41 @@ def test_viterbi_finds_the_best_of_all_readings():
         best = max(total(c, re.sub(r"([^a-z])\1+", r"\1", w)) for c, w in readings(runs))
         got = model.decode(token)
         assert abs(max(total(c, re.sub(r"([^a-z])\1+", r"\1", w)) for c, w in readings(runs) if w == got) - best) < 1e-9, token
+
+
+def test_pipeline_stages(spark, tok, tmp_path):
+    """Each stage against what it should do, on documents with further columns and odd rows, and the whole run."""
+    import corpus_pipeline as cp
+
+    rude = "you utter scumbag and moronic fool "
+    rows = [(i, prose(120), f"s{i % 3}") for i in range(60)]
+    rows += [(100 + i, rude + prose(40), "s0") for i in range(40)]
+    rows += [(200, rows[5][1], "s1"), (201, rows[6][1].replace(rows[6][1].split()[60], "changed", 1), None), (202, prose(50) + " " + PASSAGE + " " + prose(50), "s2"), (203, None, "s2"), (204, "", None), (None, prose(60), "s1")]
+    table = spark.createDataFrame([(*r, "own", -1) for r in rows], "doc_id long, text string, source string, score string, _shard int")
+    spark.createDataFrame([(1, PASSAGE), (2, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 0) for i in range(60)] + [(100 + i, 1) for i in range(40)], "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    table.write.parquet(f"file://{tmp_path}/documents.parquet")
+    sf, kept = f"file://{tmp_path}", {}
+    docs = table
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == table.columns
+        kept[name] = docs.collect()
+        assert {(r.score, r._shard) for r in kept[name]} == {("own", -1)}
+        docs = spark.createDataFrame(kept[name], table.schema)
+    ids = {k: {r.doc_id for r in v} for k, v in kept.items()}
+    everyone = {r[0] for r in rows}
+    assert ids["toxicity"] == everyone - set(range(100, 140))
+    assert ids["toxicity"] - ids["jaccard_join"] == {200, 201, 204} and len(kept["jaccard_join"]) == len(ids["jaccard_join"])
+    assert ids["jaccard_join"] - ids["decontamination"] == {202}
+    text = {r[0]: r[1] for r in rows}
+    size = {k: len((text[k] or "").split()) for k in ids["decontamination"]}
+    copies = collections.Counter(r.doc_id for r in kept["mixing"])
+    assert set(copies) <= set(size) and max(copies.values()) <= 3 and abs(sum(n * size[k] for k, n in copies.items()) - sum(size.values())) < 400
+    done = cp.STAGES[-1][1](spark, docs, sf).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in done) == sorted((str(k), len(tok.encode(text[k] or "").ids) + 1) for k in copies.elements())
+    assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in cp.run(spark, sf).collect()) == sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in done)
+    spark.createDataFrame([], table.schema).write.parquet(f"file://{tmp_path}/e/documents.parquet")
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/e/{name}.parquet")
+    assert cp.run(spark, f"{sf}/e").count() == 0
