@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+All stages but the last return the columns of documents. Columns are renamed by place inside a stage, so further columns of documents,
+whatever their names, keep their names and values. Null and empty texts aren't toxic, have no benchmark windows and no words, and are near copies of
+each other; null sources are one source; rows with a null doc_id are documents; repeated rows are copies; an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +15,18 @@ from meridia.llm.common import scratch, table_path
 from meridia.llm.queries import END
 
 
+def _inside(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """docs with columns c0, c1, ..., these names, and where doc_id, text and source are."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, inner, strict=True))
+    return docs.toDF(*inner), inner, {"key": at["doc_id"], "text": at["text"], "source": at.get("source")}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below one half."""
+    rows, inner, at = _inside(docs)
     scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.toxicity(docs, scorer).where("score < 0.5").select(*docs.columns)
+    return toxicity.toxicity(rows, scorer, text=at["text"]).where("score < 0.5").select(*inner).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +36,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    rows, inner, at = _inside(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias(at["text"]))
+    found = decontaminate.contamination(rows, benchmark, text=at["text"], key=at["key"])
+    return found.where(~F.col("contaminated")).select(*inner).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources reach their targets; every copy is a row."""
-    return mixing.mix(docs).select(*docs.columns)
+    rows, inner, at = _inside(docs)
+    return mixing.mix(rows, **at).select(*inner).toDF(*docs.columns)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
