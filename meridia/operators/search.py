@@ -7,26 +7,27 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, replaced
 
 
 def fixpoint(edges: DataFrame, seeds: DataFrame, max_range: int, rounds: int | None = None) -> DataFrame:
     """(src, node, dist): least cost from each source's seeds to every node within max_range (inclusive).
 
-    edges (node_a, node_b, weight >= 1), seeds (src, node, dist). Each round joins the frontier with the edges, keeps
-    candidates within range, takes the minimum per (src, node) with a map-side partial, and keeps strict improvements. The
-    range predicate stands before the shuffle. Distances fall strictly, so it ends when the frontier is empty.
+    edges (node_a, node_b, weight >= 1), seeds (src, node, dist). The edges are written once, so rounds don't compute them again. Each
+    round joins the fresh labels with the edges, keeps candidates within range, and takes the least per (src, node) of these and the labels so
+    far with a map-side partial; a label that became smaller is fresh. That is one shuffle of labels and one table a round. The
+    range predicate stands before the shuffle. Distances fall strictly, so it ends when no label is fresh.
     """
-    best = cut(seeds.where(F.col("dist") <= max_range).groupBy("src", "node").agg(F.min("dist").alias("dist")), "best")
-    front, done = best, 0
-    while not front.isEmpty() and (rounds is None or done < rounds):
+    edges = cut(edges.select("node_a", "node_b", "weight"), "edges")
+    first = seeds.where(F.col("dist") <= max_range).groupBy("src", "node").agg(F.min("dist").alias("dist"))
+    best, done = cut(first.withColumn("fresh", F.lit(True)), "best"), 0
+    while (rounds is None or done < rounds) and not (front := best.where("fresh")).isEmpty():
         step = front.join(edges, front["node"] == edges["node_a"]).select("src", F.col("node_b").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
-        cand = step.where(F.col("dist") <= max_range).groupBy("src", "node").agg(F.min("dist").alias("dist"))
-        old = best.withColumnRenamed("dist", "_old")
-        front = cut(cand.join(old, ["src", "node"], "left").where("_old IS NULL OR dist < _old").select("src", "node", "dist"), "front")
-        best = cut(best.unionByName(front).groupBy("src", "node").agg(F.min("dist").alias("dist")), "best")
+        both = best.withColumn("fresh", F.lit(False)).unionByName(step.where(F.col("dist") <= max_range).withColumn("fresh", F.lit(True)))
+        label = both.groupBy("src", "node").agg(F.min(F.struct("dist", "fresh")).alias("label"))  # at equal costs the old label, which isn't fresh
+        best = replaced(best, cut(label.select("src", "node", "label.dist", "label.fresh"), "best"))
         done += 1
-    return best
+    return best.select("src", "node", "dist")
 
 
 def seeds_of(sources: DataFrame) -> DataFrame:
@@ -76,19 +77,19 @@ def with_turns(edges: DataFrame, turns: DataFrame, seeds: DataFrame, max_range:
 
 def nearest(edges: DataFrame, sources: DataFrame, max_range: int) -> DataFrame:
     """(node, src, dist): the nearest source of each node; ties go to the smaller source. One label a node, not one a pair."""
-    best = cut(sources.select(F.col("node_id").alias("node"), F.struct(F.lit(0).alias("dist"), F.col("node_id").alias("src")).alias("label")), "near")
-    front = best
-    while not front.isEmpty():
-        step = front.join(edges, front["node"] == edges["node_a"]).select(F.col("node_b").alias("node"), F.struct((F.col("label.dist") + F.col("weight")).alias("dist"), F.col("label.src").alias("src")).alias("label"))
-        cand = step.where(F.col("label.dist") <= max_range).groupBy("node").agg(F.min("label").alias("label"))
-        old = best.withColumnRenamed("label", "_old")
-        front = cut(cand.join(old, "node", "left").where("_old IS NULL OR label < _old").select("node", "label"), "near-front")
-        best = cut(best.unionByName(front).groupBy("node").agg(F.min("label").alias("label")), "near")
-    return best.select("node", F.col("label.src").alias("src"), F.col("label.dist").alias("dist"))
+    edges = cut(edges.select("node_a", "node_b", "weight"), "edges")
+    best = cut(sources.select(F.col("node_id").alias("node"), F.lit(0).alias("dist"), F.col("node_id").alias("src"), F.lit(True).alias("fresh")).distinct(), "near")
+    while not (front := best.where("fresh")).isEmpty():
+        step = front.join(edges, front["node"] == edges["node_a"]).select(F.col("node_b").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), "src")
+        both = best.withColumn("fresh", F.lit(False)).unionByName(step.where(F.col("dist") <= max_range).withColumn("fresh", F.lit(True)))
+        label = both.groupBy("node").agg(F.min(F.struct("dist", "src", "fresh")).alias("label"))
+        best = replaced(best, cut(label.select("node", "label.dist", "label.src", "label.fresh"), "near"))
+    return best.select("node", "src", "dist")
 
 
 def k_nearest(edges: DataFrame, sources: DataFrame, k: int, max_range: int) -> DataFrame:
     """(node, src, dist, rank): the k nearest sources of each node, ties by source; a label leaves the search once k are better."""
+    edges = cut(edges.select("node_a", "node_b", "weight"), "edges")
     top = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("dist", "src"))).where(F.col("rank") <= k)
     best = cut(top(seeds_of(sources)), "knear")
     front = best.drop("rank")
@@ -111,15 +112,25 @@ def tree(edges: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def path(spanning: DataFrame, source: int, target: int) -> DataFrame:
-    """(seq, edge_id, node): the edges of a path, from source to target, by following parents."""
-    mine = cut(spanning.where(F.col("src") == source), "tree")
-    at = mine.where(F.col("node") == target).select("node", "edge_id", "parent", F.lit(0).alias("back"))
-    out = at
-    while not (at := cut(at, "walk")).where("parent IS NOT NULL").isEmpty():
-        at = at.where("parent IS NOT NULL").select(F.col("parent").alias("node"), (F.col("back") + 1).alias("back")).join(mine, "node").select("node", "edge_id", "parent", "back")
-        out = out.unionByName(at)
-    steps = out.where("edge_id IS NOT NULL")
-    return steps.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("back"))) - 1).select("seq", "edge_id", "node")
+    """(seq, edge_id, node): the edges of a path, from source to target.
+
+    Pointer doubling over the tree: after k rounds each node knows its ancestor 2 ** k steps up, and nodes on the path are marked by
+    joins with the marked ones, so a path of n edges takes about log2 n rounds.
+    """
+    mine = cut(spanning.where(F.col("src") == source).select("node", "edge_id", "parent"), "tree")
+    jump = mine.select("node", F.col("parent").alias("up"))
+    marked = cut(mine.where(F.col("node") == target).select("node", F.lit(0).cast("long").alias("back")), "walk")
+    reach = 1
+    while True:
+        found = marked.join(jump.where("up IS NOT NULL"), "node").select(F.col("up").alias("node"), (F.col("back") + reach).alias("back"))
+        if found.isEmpty():
+            break
+        marked = cut(marked.unionByName(found).groupBy("node").agg(F.min("back").alias("back")), "walk")
+        far = jump.select(F.col("node").alias("up"), F.col("up").alias("_next"))
+        jump, reach = cut(jump.join(far, "up", "left").select("node", F.col("_next").alias("up")), "jump"), reach * 2
+    steps = mine.join(marked, "node").where("edge_id IS NOT NULL")
+    n = marked.agg(F.max("back")).first()[0] or 0
+    return steps.select((F.lit(n) - F.col("back") - 1).cast("int").alias("seq"), "edge_id", "node")
 
 
 def route(edges: DataFrame, source: int, target: int, potential: DataFrame | None = None) -> DataFrame:
@@ -136,6 +147,7 @@ def route(edges: DataFrame, source: int, target: int, potential: DataFrame | Non
 def steps(edges: DataFrame, source: int, target: int, potential: DataFrame | None = None) -> Iterator[tuple[DataFrame, DataFrame]]:
     """A stepped search: yields (frontier, labels so far) after each round."""
     spark = edges.sparkSession
+    edges = cut(edges.select("node_a", "node_b", "weight"), "edges")
     best = cut(spark.createDataFrame([(source, source, 0)], "src int, node int, dist int"), "best")
     front = best
     while not front.isEmpty():
@@ -164,6 +176,7 @@ def both_ways(edges: DataFrame, source: int, target: int) -> DataFrame:
     meeting are dropped.
     """
     spark = edges.sparkSession
+    edges = cut(edges.select("node_a", "node_b", "weight"), "edges")
     seed = lambda n: cut(spark.createDataFrame([(n, n, 0)], "src int, node int, dist int"), "best")
     graphs, best = (edges, backward(edges)), [seed(source), seed(target)]
     front, least = list(best), [0, 0]

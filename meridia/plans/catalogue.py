@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, roads
-from ..operators import components, hierarchy, kernel, raster, search, snap, tiles, transit
+from ..operators import components, hierarchy, kernel, maintain, raster, search, snap, tiles, transit
 from . import fixtures as fx
 from . import matrix as api
 
@@ -14,6 +14,8 @@ RANGE = 300
 SOURCES = [0, 3, 6, 7, 9]
 HOLED = [[(7.0, 50.0), (8.0, 50.0), (8.0, 51.0), (7.0, 51.0)], [(7.25, 50.25), (7.75, 50.25), (7.75, 50.75), (7.25, 50.75)]]
 
+OUTER = [[(6.5, 49.5), (9.0, 49.5), (9.0, 52.0), (6.5, 52.0)]]
+
 WINDOW, TRAVEL = (28800, 36000), 3600
 
 
@@ -22,9 +24,40 @@ def _ids(spark: SparkSession, ids=SOURCES) -> DataFrame:
 
 
 def degree(spark, d) -> DataFrame:
+    return maintain.degrees(fx.edges(spark, d))
+
+
+def tile_counts(spark, d) -> DataFrame:
+    return maintain.tile_sizes(fx.tiles(fx.nodes(spark, d)))
+
+
+def tile_headers(spark, d) -> DataFrame:
+    return maintain.tile_headers(fx.edges(spark, d), fx.tiles(fx.nodes(spark, d)))
+
+
+def region_counts(spark, d) -> DataFrame:
+    x, y = F.col("lon"), F.col("lat")
+    return maintain.region_counts(fx.points(spark, d), {"inner": geo.in_polygon(x, y, HOLED), "outer": geo.in_polygon(x, y, OUTER)})
+
+
+def edges_without_heavy(spark, d) -> DataFrame:
     e = fx.edges(spark, d)
-    ends = e.select(F.col("node_a").alias("node"), F.lit(1).alias("f"), F.lit(0).alias("b")).union(e.select("node_b", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("f").alias("forward"), F.sum("b").alias("backward"))
+    return maintain.remove_edges(e, e.where("weight > 300")).select("edge_id", "node_a", "node_b", "weight")
+
+
+def renumbered_edges(spark, d) -> DataFrame:
+    n = fx.nodes(spark, d)
+    return maintain.renumber(n, fx.edges(spark, d), maintain.order_by_tile(fx.tiles(n)))[1].select("edge_id", "node_a", "node_b")
+
+
+def arc_runs(spark, d) -> DataFrame:
+    return maintain.runs(fx.edges(spark, d).select("edge_id", "node_a"), "node_a")
+
+
+def graph_problems(spark, d) -> DataFrame:
+    """Of the graph without the nodes of odd tiles: loose ends are left."""
+    n = fx.nodes(spark, d)
+    return maintain.check_graph(n.join(fx.tiles(n).where("tile % 2 = 0"), "node_id", "left_semi"), fx.edges(spark, d))
 
 
 def turn_pairs(spark, d) -> DataFrame:
@@ -154,11 +187,11 @@ def gtfs_connections(spark, d) -> DataFrame:
 
 
 def schedule_by_day(spark, d) -> DataFrame:
-    return transit.schedule(fx.legs(spark, d), gtfs_connections(spark, d)).select("conn_id", "departure", "arrival")
+    return transit.schedule(fx.legs_by_day(spark, d), gtfs_connections(spark, d), "day").select("day", "conn_id", "departure", "arrival")
 
 
 def next_departure(spark, d) -> DataFrame:
-    conns = gtfs_connections(spark, d).where("stop_a = 0")
+    conns = gtfs_connections(spark, d)
     ask = conns.select("conn_id", F.explode(F.array(F.lit(30000), F.lit(43200))).alias("asked"))
     return transit.next_departure(ask, transit.schedule(fx.legs(spark, d), conns))
 
@@ -168,7 +201,7 @@ def departures_in_window(spark, d) -> DataFrame:
 
 
 def pareto_labels(spark, d) -> DataFrame:
-    t = fx.timetable(spark, d).where("departure BETWEEN 28800 AND 43200")
+    t = fx.timetable(spark, d)
     return transit.pareto(t.select(F.col("stop_a").alias("src"), F.col("stop_b").alias("stop"), F.col("arrival").alias("time"), "departure"))
 
 
@@ -197,59 +230,32 @@ def isochrone_rings(spark, d) -> DataFrame:
 
 
 def _hierarchy(spark, d):
-    return hierarchy.contract(fx.nodes(spark, d), _light(spark, d), rounds=4)
+    """All edges, contracted as far as contract's own bounds allow."""
+    return hierarchy.contract(fx.nodes(spark, d), fx.edges(spark, d))
 
 
 def phast_all(spark, d) -> DataFrame:
     return hierarchy.sweep(*_hierarchy(spark, d), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
 
 
+def rphast(spark, d) -> DataFrame:
+    """From every source to the nodes of one tile."""
+    n = fx.nodes(spark, d)
+    targets = fx.tiles(n).where("tile = 0").select(F.col("node_id").alias("node"))
+    return hierarchy.sweep(*_hierarchy(spark, d), search.seeds_of(_ids(spark)), RANGE, targets).join(targets, "node", "left_semi").select("src", "node", "dist")
+
+
 def ch_query(spark, d) -> DataFrame:
     return hierarchy.query(*_hierarchy(spark, d), 0, 9).select("dist")
 
 
 def overlay_search(spark, d) -> DataFrame:
-    n, e = fx.nodes(spark, d), _light(spark, d)
-    t = fx.tiles(n)
-    return tiles.overlay_search(e, t, tiles.overlay(e, t, RANGE), tiles.cell_index(e, t, RANGE), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
-
-
-def _whole_hierarchy(spark, d):
-    """All edges, contracted as far as contract's own bounds allow."""
-    return hierarchy.contract(fx.nodes(spark, d), fx.edges(spark, d))
-
-
-def phast_all_edges(spark, d) -> DataFrame:
-    return hierarchy.sweep(*_whole_hierarchy(spark, d), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
-
-
-def ch_query_all_edges(spark, d) -> DataFrame:
-    return hierarchy.query(*_whole_hierarchy(spark, d), 0, 9).select("dist")
-
-
-def overlay_search_all_edges(spark, d) -> DataFrame:
     n, e = fx.nodes(spark, d), fx.edges(spark, d)
     t = fx.tiles(n)
     return tiles.overlay_search(e, t, tiles.overlay(e, t, RANGE), tiles.cell_index(e, t, RANGE), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
 
 
 def matrix(spark, d) -> DataFrame:
-    p = fx.points(spark, d)
-    return api.matrix(fx.nodes(spark, d), fx.edges(spark, d), p.where("point_id < 20"), p.where("point_id BETWEEN 20 AND 80"), RANGE)
-
-
-def next_departure_all_stops(spark, d) -> DataFrame:
-    conns = gtfs_connections(spark, d)
-    ask = conns.select("conn_id", F.explode(F.array(F.lit(30000), F.lit(43200))).alias("asked"))
-    return transit.next_departure(ask, transit.schedule(fx.legs(spark, d), conns))
-
-
-def pareto_labels_all_day(spark, d) -> DataFrame:
-    t = fx.timetable(spark, d)
-    return transit.pareto(t.select(F.col("stop_a").alias("src"), F.col("stop_b").alias("stop"), F.col("arrival").alias("time"), "departure"))
-
-
-def matrix_all_points(spark, d) -> DataFrame:
     """From every supplier to every point."""
     return api.matrix(fx.nodes(spark, d), fx.edges(spark, d), fx.suppliers(spark, d), fx.points(spark, d), RANGE)
 
@@ -257,11 +263,11 @@ def matrix_all_points(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        degree, turn_pairs, avoid_edges, border_nodes, cross_border_edges, tile_partition_geo, weights_car, weights_foot, weights_bike, weights_shortest, speed_decode,
-        haversine_edges, snap_nearest, grid_points_in_polygon, range_dijkstra, multi_source, avoid_dijkstra, turn_cost_dijkstra, nearest_source, k_nearest, reach_bfs, scc_of_node,
-        largest_scc, shortest_path_length, meet_in_middle, gtfs_connections, schedule_by_day, next_departure, departures_in_window, pareto_labels, transit_earliest_arrival,
-        transit_window_matrix, isoraster_cells, marching_keys, isochrone_rings, phast_all, ch_query, overlay_search, phast_all_edges, ch_query_all_edges, overlay_search_all_edges, matrix,
-        next_departure_all_stops, pareto_labels_all_day, matrix_all_points,
+        degree, tile_counts, tile_headers, region_counts, edges_without_heavy, renumbered_edges, arc_runs, graph_problems, turn_pairs, avoid_edges, border_nodes, cross_border_edges,
+        tile_partition_geo, weights_car, weights_foot, weights_bike, weights_shortest, speed_decode, haversine_edges, snap_nearest, grid_points_in_polygon, range_dijkstra, multi_source,
+        avoid_dijkstra, turn_cost_dijkstra, nearest_source, k_nearest, reach_bfs, scc_of_node, largest_scc, shortest_path_length, meet_in_middle, gtfs_connections, schedule_by_day,
+        next_departure, departures_in_window, pareto_labels, transit_earliest_arrival, transit_window_matrix, isoraster_cells, marching_keys, isochrone_rings, phast_all, rphast, ch_query,
+        overlay_search, matrix,
     )
 }
 
@@ -314,6 +320,14 @@ _RIDE = "SELECT r.{key}, t.stop_b, MIN(t.arr) FROM {name} r, LATERAL (SELECT rou
 
 ORACLE_SQL = {
     "degree": _q("SELECT node, SUM(f)::BIGINT AS forward, SUM(b)::BIGINT AS backward FROM (SELECT node_a AS node, 1 AS f, 0 AS b FROM rg_edges UNION ALL SELECT node_b, 0, 1 FROM rg_edges) GROUP BY node"),
+    "tile_counts": _q("SELECT tile, COUNT(*) AS nodes FROM rg_tiles GROUP BY tile"),
+    "tile_headers": _q("SELECT tile, COUNT(*) AS arcs FROM rg_edges JOIN rg_tiles ON node_b = node_id GROUP BY tile"),
+    "region_counts": _q(f"SELECT region, COUNT(*) AS n FROM (SELECT 'inner' AS region FROM rg_points WHERE {_inside(HOLED)} UNION ALL SELECT 'outer' FROM rg_points WHERE {_inside(OUTER)}) GROUP BY region"),
+    "edges_without_heavy": _q("SELECT edge_id, node_a, node_b, weight FROM rg_edges WHERE weight <= 300"),
+    "renumbered_edges": _q("SELECT edge_id, a.new AS node_a, b.new AS node_b FROM rg_edges JOIN m a ON a.old = node_a JOIN m b ON b.old = node_b", "m AS (SELECT node_id AS old, CAST(ROW_NUMBER() OVER (ORDER BY tile, node_id) - 1 AS INT) AS new FROM rg_tiles)"),
+    "arc_runs": _q("SELECT edge_id, node_a, COUNT(*) OVER (PARTITION BY node_a) AS run FROM rg_edges"),
+    "graph_problems": _q("SELECT 'loose_end' AS problem, COUNT(DISTINCT edge_id) AS n FROM (SELECT edge_id, UNNEST([node_a, node_b]) AS node_id FROM rg_edges) WHERE node_id NOT IN (SELECT node_id FROM rg_tiles WHERE tile % 2 = 0) HAVING COUNT(*) > 0"),
+    "rphast": _q("SELECT src, node, CAST(dist AS INT) AS dist FROM fp JOIN rg_tiles ON node = node_id WHERE tile = 0", _search()),
     "turn_pairs": _q("SELECT node_a, COUNT(*) AS turns, SUM(weight)::BIGINT AS weight FROM line GROUP BY node_a", _LINE),
     "avoid_edges": _q("SELECT edge_id, node_a, node_b FROM okay", _AVOID),
     "border_nodes": _q("SELECT node, BOOL_OR(i) AS is_in, BOOL_OR(o) AS is_out FROM (SELECT node_b AS node, TRUE AS i, FALSE AS o FROM tagged WHERE tile_a <> tile_b UNION ALL SELECT node_a, FALSE, TRUE FROM tagged WHERE tile_a <> tile_b) GROUP BY node", _TAGGED),
@@ -342,28 +356,18 @@ FROM rg_edges JOIN rg_nodes a ON a.node_id = node_a JOIN rg_nodes b ON b.node_id
     "shortest_path_length": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _search(ids=[0], most=100000)),
     "meet_in_middle": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _search(ids=[0], most=600)),
     "gtfs_connections": _q("SELECT conn_id, route_id, stop_a, stop_b FROM conns", _CONNS),
-    "schedule_by_day": _q("SELECT conn_id, departure, MIN(arrival) AS arrival FROM conns JOIN rg_legs USING (route_id, stop_a, stop_b) GROUP BY conn_id, departure", _CONNS),
-    "next_departure": _q("SELECT conn_id, asked, MIN(departure) AS departure, ARG_MIN(arrival, departure) AS arrival FROM (SELECT CAST(ROW_NUMBER() OVER (ORDER BY stop_b, route_id) - 1 AS INT) AS conn_id, * FROM conns WHERE stop_a = 0) c JOIN tt USING (route_id, stop_a, stop_b), (SELECT UNNEST([30000, 43200]) AS asked) WHERE departure >= asked GROUP BY conn_id, asked", _CONNS.replace("conn_id", "old_id")),
     "departures_in_window": _q("SELECT route_id, stop_a, stop_b, departure, arrival FROM tt WHERE departure BETWEEN 28800 AND 36000"),
-    "pareto_labels": _q("SELECT DISTINCT src, stop, time, departure FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.src = l.src AND m.stop = l.stop AND m.time <= l.time AND m.departure >= l.departure AND (m.time < l.time OR m.departure > l.departure))", "l AS (SELECT stop_a AS src, stop_b AS stop, arrival AS time, departure FROM tt WHERE departure BETWEEN 28800 AND 43200)"),
     "transit_earliest_arrival": _q("SELECT stop, CAST(time AS INT) AS time FROM ea", "ea(src, stop, time) USING KEY (src, stop) AS (SELECT 0, 0, 28800 UNION " + _RIDE.format(key="src", name="ea", last=28800 + TRAVEL, match="x.src = r.src AND x.stop = t.stop_b", limit=f"<= {28800 + TRAVEL}") + ")"),
     "transit_window_matrix": _q("SELECT stop, CAST(MIN(time - dep) AS INT) AS duration FROM wm GROUP BY stop", "wm(dep, stop, time) USING KEY (dep, stop) AS (SELECT DISTINCT departure, 0, departure FROM tt WHERE stop_a = 0 AND departure BETWEEN 28800 AND 36000 UNION ALL SELECT 36000, 0, 36000 WHERE NOT EXISTS (SELECT 1 FROM tt WHERE stop_a = 0 AND departure = 36000) UNION " + _RIDE.format(key="dep", name="wm", last=36000 + TRAVEL, match="x.dep = r.dep AND x.stop = t.stop_b", limit=f"- r.dep <= {TRAVEL}") + ")"),
     "isoraster_cells": _q("SELECT x, y, value FROM cells", _search(ids=[0]), _CELL),
     "marching_keys": _q("SELECT x, y, CAST(SUM(bit) AS INT) AS key FROM (SELECT x - c.dx AS x, y - c.dy AS y, c.bit FROM cells, (VALUES (0,0,1),(1,0,2),(1,1,4),(0,1,8)) c(dx, dy, bit) WHERE value <= 250) GROUP BY x, y HAVING SUM(bit) < 15", _search(ids=[0]), _CELL),
-    "phast_all": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _LIGHT, _search("light", ids=[0])),
-    "ch_query": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _LIGHT, _search("light", ids=[0], most=100000)),
-    "overlay_search": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _LIGHT, _search("light", ids=[0])),
-    "phast_all_edges": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
-    "ch_query_all_edges": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _search(ids=[0], most=100000)),
-    "overlay_search_all_edges": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
+    "phast_all": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
+    "ch_query": _q("SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9", _search(ids=[0], most=100000)),
+    "overlay_search": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
+    "schedule_by_day": _q("SELECT day, conn_id, departure, MIN(arrival) AS arrival FROM conns JOIN rg_legs USING (route_id, stop_a, stop_b) JOIN (SELECT CAST(o_orderkey AS INT) AS trip_id, CAST(ISODOW(o_orderdate) AS INT) AS day FROM orders) USING (trip_id) GROUP BY day, conn_id, departure", _CONNS),
+    "next_departure": _q("SELECT conn_id, asked, MIN(departure) AS departure, ARG_MIN(arrival, departure) AS arrival FROM conns JOIN tt USING (route_id, stop_a, stop_b), (SELECT UNNEST([30000, 43200]) AS asked) WHERE departure >= asked GROUP BY conn_id, asked", _CONNS),
+    "pareto_labels": _q("SELECT DISTINCT src, stop, time, departure FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.src = l.src AND m.stop = l.stop AND m.time <= l.time AND m.departure >= l.departure AND (m.time < l.time OR m.departure > l.departure))", "l AS (SELECT stop_a AS src, stop_b AS stop, arrival AS time, departure FROM tt)"),
     "matrix": _q(
-        "SELECT s.point_id AS source, t.point_id AS target, CAST(COALESCE(dist, -1) AS INT) AS distance FROM sn s CROSS JOIN sn t LEFT JOIN fp ON fp.src = s.node_id AND fp.node = t.node_id WHERE s.point_id < 20 AND t.point_id BETWEEN 20 AND 80",
-        "sn AS (SELECT p.point_id, COALESCE(ARG_MIN(n.node_id, (SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat)), n.node_id)), -1) AS node_id FROM rg_points p LEFT JOIN rg_nodes n ON SQRT((p.lon-n.lon)*(p.lon-n.lon)+(p.lat-n.lat)*(p.lat-n.lat)) <= CAST(0.05 AS DOUBLE) GROUP BY p.point_id)",
-        _search(starts="SELECT DISTINCT node_id AS src, node_id AS node, 0 AS dist FROM sn WHERE point_id < 20 AND node_id >= 0"),
-    ),
-    "next_departure_all_stops": _q("SELECT conn_id, asked, MIN(departure) AS departure, ARG_MIN(arrival, departure) AS arrival FROM conns JOIN tt USING (route_id, stop_a, stop_b), (SELECT UNNEST([30000, 43200]) AS asked) WHERE departure >= asked GROUP BY conn_id, asked", _CONNS),
-    "pareto_labels_all_day": _q("SELECT DISTINCT src, stop, time, departure FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.src = l.src AND m.stop = l.stop AND m.time <= l.time AND m.departure >= l.departure AND (m.time < l.time OR m.departure > l.departure))", "l AS (SELECT stop_a AS src, stop_b AS stop, arrival AS time, departure FROM tt)"),
-    "matrix_all_points": _q(
         "SELECT s.point_id AS source, t.point_id AS target, CAST(COALESCE(dist, -1) AS INT) AS distance FROM ss s CROSS JOIN sn t LEFT JOIN fp ON fp.src = s.node_id AND fp.node = t.node_id",
         f"rg_suppliers AS ({fx.SUPPLIERS_SQL})",
         _snapped("ss", "rg_suppliers"),

@@ -45,6 +45,12 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, LEGS_SQL, "lineitem")
 
 
+def legs_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs with the weekday of their order, 1 for Monday."""
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("int").alias("trip_id"), (F.weekday("o_orderdate") + 1).alias("day"))
+    return legs(spark, sf_dir).join(days, "trip_id")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, POINTS_SQL, "part")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PARTITIONED = {"cell_index": ["tile"], "schedule": ["day"]}
 PROFILE_TYPES = {"driving": ["car"], "walking": ["foot"], "cycling": ["bike"], "transit": ["foot"]}
@@ -48,3 +51,19 @@ def find_profile(profiles: dict[str, dict], kind: str, vehicle: str | None = Non
         if p["type"] == kind and (vehicle is None or p.get("vehicle", vehicle) == vehicle) and p["metric"] == METRICS[metric]:
             return name
     raise KeyError(f"no profile {kind}, {vehicle}, {metric}")
+
+
+def store_meta(spark: SparkSession, folder: str, name: str, meta: dict) -> None:
+    """A profile's description as one JSON text beside its tables; a newer one replaces it."""
+    spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta/{name}")
+
+
+def load_meta(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """The descriptions of all profiles of a folder by name; a row a profile comes to the driver."""
+    rows = spark.read.text(f"{folder}/meta/*").select("value", F.element_at(F.split(F.input_file_name(), "/"), -2).alias("name")).collect()
+    return {r["name"]: json.loads(r["value"]) for r in rows}
+
+
+def load_profile(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """The named tables of a folder."""
+    return {n: load(spark, folder, n) for n in names}

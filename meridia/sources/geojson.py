@@ -10,7 +10,7 @@ _DEPTH = {"Point": "array<double>", "MultiPoint": "array<array<double>>", "LineS
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """(type, coordinates as JSON, properties as JSON) of the features of collections or single features."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parts = text.select(F.coalesce(F.from_json(F.get_json_object("value", "$.features"), "array<string>"), F.array("value")).alias("f")).select(F.explode("f").alias("f"))
     return parts.select(F.get_json_object("f", "$.geometry.type").alias("type"), F.get_json_object("f", "$.geometry.coordinates").alias("coordinates"), F.coalesce(F.get_json_object("f", "$.properties"), F.lit("{}")).alias("properties"))
 
@@ -36,3 +36,18 @@ def write_features(features: DataFrame, column: str, path: str) -> None:
 def matrix_rows(matrix: DataFrame) -> DataFrame:
     """(source, row): a JSON array of each source's distances in order of targets, -1 where there is none."""
     return matrix.groupBy("source").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("target", "distance"))), lambda x: x["distance"])).alias("row"))
+
+
+def collection(features: DataFrame, column: str) -> DataFrame:
+    """(value): one FeatureCollection of a result that is small enough for one document, such as a route; larger ones are written by lines."""
+    listed = features.agg(F.array_sort(F.collect_list(column)).alias("f"))
+    return listed.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join("f", ","), F.lit("]}")).alias("value"))
+
+
+def route_features(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seq, feature): a LineString of each edge of a path, in its order, with the property value 0.
+
+    steps (seq, edge_id), edges (edge_id, geom: array of (lon, lat)).
+    """
+    line = F.transform("geom", lambda p: F.array(p["lon"].cast("double"), p["lat"].cast("double")))
+    return steps.join(edges.select("edge_id", "geom"), "edge_id").select("seq", feature("LineString", line, value=F.lit(0)).alias("feature"))

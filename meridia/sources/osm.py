@@ -6,7 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -160,8 +160,8 @@ def read_pbf(spark: SparkSession, path: str) -> DataFrame:
 def network(osm: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the road network of OSM rows.
 
-    Ways with a highway of the network count; a node that two ways or ends share is a junction. Ways are cut at junctions by a
-    running count; a way that isn't one-way also yields the reverse edge. Nodes missing from the file drop their segments' points.
+    Ways with a highway of the network count; a node that two ways or ends share is a junction. Ways are cut at junctions, but not where
+    they come back to the junction that a segment began at; a way that isn't one-way also yields the reverse edge. Nodes missing from the file drop their segments' points.
     """
     ways = osm.where((F.col("kind") == "way") & F.col("tags")["highway"].isin(HIGHWAYS)).select("id", "refs", "tags")
     refs = ways.select("id", "tags", F.size("refs").alias("n"), F.posexplode("refs").alias("pos", "ref"))
@@ -169,10 +169,15 @@ def network(osm: DataFrame) -> tuple[DataFrame, DataFrame]:
     spots = osm.where(F.col("kind") == "node").select(F.col("id").alias("ref"), "lon", "lat").join(uses, "ref")
     nodes = spots.where("uses > 1").select(F.col("ref").alias("node_id"), "lon", "lat")
     at = refs.join(spots, "ref").withColumn("cut", (F.col("uses") > 1).cast("int"))
-    w = Window.partitionBy("id").orderBy("pos")
-    part = F.sum("cut").over(w)
-    piece = at.withColumn("p", part).withColumn("seg", F.when((F.col("cut") == 1) & (F.col("pos") > 0), F.array(F.col("p") - 1, F.col("p"))).otherwise(F.array("p"))).select("*", F.explode("seg").alias("s"))
-    line = piece.groupBy("id", "s").agg(F.first("tags").alias("tags"), F.array_sort(F.collect_list(F.struct("pos", "ref", "lon", "lat", "cut"))).alias("g")).where("size(g) > 1 AND g[0].cut = 1 AND g[size(g) - 1].cut = 1 AND g[0].ref <> g[size(g) - 1].ref")
+    points = F.array_sort(F.collect_list(F.struct("pos", "ref", "lon", "lat", "cut")))
+    whole = at.groupBy("id").agg(F.first("tags").alias("tags"), points.alias("g"))
+    # a way is cut at its first junction, and then wherever a junction differs from the one that the segment began at; a way has 2000 nodes at most
+    begun = F.struct(F.lit(None).cast("long").alias("start"), F.array().cast("array<int>").alias("cuts"))
+    numbered = F.transform("g", lambda x, i: F.struct(x["ref"].alias("ref"), x["cut"].alias("cut"), i.alias("i")))
+    step = lambda s, x: F.when((x["cut"] == 1) & (s["start"].isNull() | (s["start"] != x["ref"])), F.struct(x["ref"].alias("start"), F.array_append(s["cuts"], x["i"]).alias("cuts"))).otherwise(s)
+    cuts = whole.withColumn("cuts", F.aggregate(numbered, begun, step, lambda s: s["cuts"])).where("size(cuts) > 1")
+    line = cuts.select("id", "tags", F.explode(F.sequence(F.lit(0), F.size("cuts") - 2)).alias("s"), "g", "cuts")
+    line = line.select("id", "tags", "s", F.expr("slice(g, cuts[s] + 1, cuts[s + 1] - cuts[s] + 1)").alias("g"))
     t = F.col("tags")
     base = line.select(
         "id",

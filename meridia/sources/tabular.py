@@ -23,7 +23,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """(node_id, tile): one tile a line; the line's number is the node."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value"), "\\s+")).alias("node_id", "tile"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\\s+")).alias("node_id", "tile"))
     return lines.select("node_id", F.col("tile").cast("int").alias("tile"))
 
 
