@@ -239,9 +239,9 @@ def phast_all(spark, d) -> DataFrame:
 
 
 def rphast(spark, d) -> DataFrame:
-    """From every source to the nodes of one tile."""
+    """From every source to the nodes of even tiles."""
     n = fx.nodes(spark, d)
-    targets = fx.tiles(n).where("tile = 0").select(F.col("node_id").alias("node"))
+    targets = fx.tiles(n).where("tile % 2 = 0").select(F.col("node_id").alias("node"))
     return hierarchy.sweep(*_hierarchy(spark, d), search.seeds_of(_ids(spark)), RANGE, targets).join(targets, "node", "left_semi").select("src", "node", "dist")
 
 
@@ -327,7 +327,7 @@ ORACLE_SQL = {
     "renumbered_edges": _q("SELECT edge_id, a.new AS node_a, b.new AS node_b FROM rg_edges JOIN m a ON a.old = node_a JOIN m b ON b.old = node_b", "m AS (SELECT node_id AS old, CAST(ROW_NUMBER() OVER (ORDER BY tile, node_id) - 1 AS INT) AS new FROM rg_tiles)"),
     "arc_runs": _q("SELECT edge_id, node_a, COUNT(*) OVER (PARTITION BY node_a) AS run FROM rg_edges"),
     "graph_problems": _q("SELECT 'loose_end' AS problem, COUNT(DISTINCT edge_id) AS n FROM (SELECT edge_id, UNNEST([node_a, node_b]) AS node_id FROM rg_edges) WHERE node_id NOT IN (SELECT node_id FROM rg_tiles WHERE tile % 2 = 0) HAVING COUNT(*) > 0"),
-    "rphast": _q("SELECT src, node, CAST(dist AS INT) AS dist FROM fp JOIN rg_tiles ON node = node_id WHERE tile = 0", _search()),
+    "rphast": _q("SELECT src, node, CAST(dist AS INT) AS dist FROM fp JOIN rg_tiles ON node = node_id WHERE tile % 2 = 0", _search()),
     "turn_pairs": _q("SELECT node_a, COUNT(*) AS turns, SUM(weight)::BIGINT AS weight FROM line GROUP BY node_a", _LINE),
     "avoid_edges": _q("SELECT edge_id, node_a, node_b FROM okay", _AVOID),
     "border_nodes": _q("SELECT node, BOOL_OR(i) AS is_in, BOOL_OR(o) AS is_out FROM (SELECT node_b AS node, TRUE AS i, FALSE AS o FROM tagged WHERE tile_a <> tile_b UNION ALL SELECT node_a, FALSE, TRUE FROM tagged WHERE tile_a <> tile_b) GROUP BY node", _TAGGED),
