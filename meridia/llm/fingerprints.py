@@ -18,6 +18,8 @@ SAMPLES = 64
 TERM_WORDS = 2
 #: Digest of a text without words.
 _EMPTY = 0
+#: Bytes of text that are signed at a time, and terms that are drawn at a time: larger arrays leave the processor's cache.
+SLICE, BLOCK = 1 << 18, 1 << 14
 _UNIT = np.float32(1 / (1 << 21))
 
 
@@ -66,13 +68,14 @@ def _draws(terms, weights, a, b, samples):
     keys = np.empty((len(terms), b - a), np.float32, order="F")
     steps = np.empty((len(terms), b - a), np.int32, order="F")
     log_w = np.log(weights.astype(np.float32))
-    for j in range(b - a):
-        one, two = mix(terms ^ seeds[0, j]), mix(terms ^ seeds[1, j])
+    for i, j in ((i, j) for i in range(0, len(terms), BLOCK) for j in range(b - a)):
+        some = slice(i, i + BLOCK)
+        one, two = mix(terms[some] ^ seeds[0, j]), mix(terms[some] ^ seeds[1, j])
         u = [(x.astype(np.float32) + np.float32(0.5)) * _UNIT for x in (one & low, (one >> U64(21)) & low, one >> U64(43), two & low, (two >> U64(21)) & low)]
         r = -np.log(u[0] * u[1])
-        t = np.floor(log_w / r + u[4])
-        keys[:, j] = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + np.float32(1))
-        steps[:, j] = t
+        t = np.floor(log_w[some] / r + u[4])
+        keys[some, j] = np.log(-np.log(u[2] * u[3])) - r * (t - u[4] + np.float32(1))
+        steps[some, j] = t
     return keys, steps
 
 
@@ -106,7 +109,7 @@ def fingerprints(docs: DataFrame, text: str = "text", samples: int = SAMPLES) ->
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, f"c{at}", 2 << 20):
+            for b in slices(whole, f"c{at}", SLICE):
                 yield pa.RecordBatch.from_arrays([*b.columns, _hex(_sign(b.column(at), samples))], names=[*b.schema.names, "f"])
 
     out = rows.mapInArrow(sign, T.StructType([*rows.schema.fields, T.StructField("f", T.StringType())]))
@@ -144,7 +147,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
         begin("fingerprints")
         held: list = []  # (shard, ahead, key, text) not answered yet
         for whole in batches:
-            for b in slices(whole, "_text", 2 << 20):
+            for b in slices(whole, "_text", SLICE):
                 held += list(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
                 out, held = _answer(held, samples)
                 if out is not None:
