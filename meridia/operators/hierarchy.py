@@ -9,23 +9,29 @@ from .search import backward, fixpoint, meet
 from .store import cut
 
 
-def contract(nodes: DataFrame, edges: DataFrame, rounds: int = 20, degree: float = 12.0) -> tuple[DataFrame, DataFrame]:
+def contract(nodes: DataFrame, edges: DataFrame, rounds: int = 20, degree: float = 12.0, keep: DataFrame | None = None, order: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(levels (node, level), arcs (node_a, node_b, weight, mid)): all edges and shortcuts; mid is null for edges.
 
     A round contracts the nodes whose priority (edge difference, then a hash) is least among their neighbours'; such
     nodes are independent, so all are done at once. A shortcut u-v-w is left out if a path of one or two hops that avoids the
     round's nodes is as short. Contraction ends when all nodes are done, after ``rounds``, or when the rest is
-    denser than ``degree``; what is left is the core, one level above.
+    denser than ``degree``; what is left is the core, one level above. Nodes of keep (node) are never contracted. With order
+    (node, place) lesser places go first instead of lesser edge differences.
     """
     arcs = cut(edges.where("node_a <> node_b").groupBy("node_a", "node_b").agg(F.min("weight").alias("weight")).withColumn("mid", F.lit(None).cast("int")), "ch-arcs")
     live, left, levels, level = arcs, cut(nodes.select(F.col("node_id").alias("node")), "ch-left"), None, 0
+    kept = left.limit(0) if keep is None else cut(left.join(keep.select("node"), "node", "left_semi"), "ch-kept")
+    left, aside = cut(left.join(kept, "node", "left_anti"), "ch-left"), kept.count()
     while level < rounds and not left.isEmpty():
-        n, m = left.count(), live.count()
+        n, m = left.count() + aside, live.count()
         if m > degree * n:
             break
         out_, in_ = live.groupBy(F.col("node_a").alias("node")).agg(F.count("*").alias("o")), live.groupBy(F.col("node_b").alias("node")).agg(F.count("*").alias("i"))
         both = left.join(out_, "node", "left").join(in_, "node", "left").select("node", F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("i", F.lit(0)).alias("i"))
-        rank = cut(both.select("node", F.struct((F.col("o") * F.col("i") - F.col("o") - F.col("i")).alias("p"), F.xxhash64("node").alias("h"), F.col("node").alias("id")).alias("rank")), "ch-rank")
+        priority = F.col("o") * F.col("i") - F.col("o") - F.col("i")
+        if order is not None:
+            both, priority = both.join(order.select("node", "place"), "node", "left"), F.coalesce("place", F.lit(2**31)).cast("long")
+        rank = cut(both.select("node", F.struct(priority.alias("p"), F.xxhash64("node").alias("h"), F.col("node").alias("id")).alias("rank")), "ch-rank")
         sides = live.select("node_a", "node_b").union(live.select("node_b", "node_a"))
         beside = sides.join(rank.select(F.col("node").alias("node_b"), F.col("rank").alias("other")), "node_b").groupBy(F.col("node_a").alias("node")).agg(F.min("other").alias("other"))
         pick = cut(rank.join(beside, "node", "left").where("other IS NULL OR rank < other").select("node"), "ch-pick")
@@ -44,7 +50,7 @@ def contract(nodes: DataFrame, edges: DataFrame, rounds: int = 20, degree: float
         levels = done if levels is None else levels.unionByName(done)
         left = cut(left.join(pick, "node", "left_anti"), "ch-left")
         level += 1
-    core = left.select("node", F.lit(level).alias("level"))
+    core = left.unionByName(kept).select("node", F.lit(level).alias("level"))
     levels = core if levels is None else levels.unionByName(core)
     best = arcs.groupBy("node_a", "node_b").agg(F.min(F.struct("weight", F.coalesce(F.col("mid"), F.lit(-1)).alias("m"))).alias("s"))
     return cut(levels, "ch-levels"), cut(best.select("node_a", "node_b", F.col("s.weight").alias("weight"), F.when(F.col("s.m") >= 0, F.col("s.m")).alias("mid")), "ch-all")
@@ -81,7 +87,11 @@ def sweep(levels: DataFrame, arcs: DataFrame, seeds: DataFrame, max_range: int,
             front = cut(down.join(front, down["node_b"] == front["node"]).select(F.col("node_a").alias("node")).distinct().join(need, "node", "left_anti"), "sweep-front")
             need = cut(need.unionByName(front), "sweep-need")
         down = cut(down.join(need, down["node_b"] == need["node"], "left_semi"), "sweep-down")
-    best = fixpoint(up, seeds, max_range)
+    return downward(fixpoint(up, seeds, max_range), down, max_range)
+
+
+def downward(best: DataFrame, down: DataFrame, max_range: int) -> DataFrame:
+    """Labels (src, node, dist) carried down the arcs, a join a level; nodes that no label reached take no part."""
     for r in down.select("lb").distinct().orderBy(F.desc("lb")).collect():  # levels, not nodes
         step = best.join(down.where(F.col("lb") == r["lb"]), F.col("node") == F.col("node_a")).select("src", F.col("node_b").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
         best = cut(best.unionByName(step.where(F.col("dist") <= max_range)).groupBy("src", "node").agg(F.min("dist").alias("dist")), "sweep")

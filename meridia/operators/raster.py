@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, cell_square, mercator_x, mercator_y
+from ..functions.geo import cell, cell_square, from_mercator, mercator_x, mercator_y
 
 
 def cells(found: DataFrame, nodes: DataFrame, size: float) -> DataFrame:
@@ -63,3 +63,52 @@ def _trace(p: pd.DataFrame) -> pd.DataFrame:
         area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
         out.append((int(p["src"].iloc[0]), [list(map(float, v)) for v in ring], float(area)))
     return pd.DataFrame(out, columns=["src", "ring", "area"])
+
+
+def interpolated(rings: DataFrame, raster: DataFrame) -> DataFrame:
+    """rings (src, value, ring, area) with points where the cost equals value, linearly between the two cells beside a point.
+
+    A point stays in the middle where a cell has no cost; it never leaves the line between the cells' corners.
+    """
+    at = raster.select("src", "x", "y", F.col("value").alias("cost"))
+    spots = rings.withColumn("_r", F.monotonically_increasing_id()).select("_r", "src", "value", "area", F.posexplode("ring").alias("i", "p"))
+    ends = spots.select("*", *(f(F.col("p")[k]).cast("int").alias(f"{n}{k}") for n, f in (("a", F.floor), ("b", F.ceil)) for k in (0, 1)))
+    for n in "ab":
+        ends = ends.join(at.select("src", F.col("x").alias(f"{n}0"), F.col("y").alias(f"{n}1"), F.col("cost").alias(f"{n}v")), ["src", f"{n}0", f"{n}1"], "left")
+    part = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("value") - F.col("av")) / F.nullif(F.col("bv") - F.col("av"), F.lit(0)))), F.lit(0.5))
+    part = F.when(F.col("av").isNull() | F.col("bv").isNull(), 0.5).otherwise(part)
+    moved = ends.select("_r", "src", "value", "area", "i", F.array(*(F.col(f"a{k}") + part * (F.col(f"b{k}") - F.col(f"a{k}")) for k in (0, 1))).alias("p"))
+    listed = moved.groupBy("_r", "src", "value", "area").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("l"))
+    return listed.select("src", "value", F.col("l.p").alias("ring"), "area")
+
+
+def polygons(rings: DataFrame, *by: str) -> DataFrame:
+    """(*by, rings, area): each outer ring with its holes; by is src and what else names an isochrone.
+
+    A hole belongs to the outer ring of fewest points that contains its first point. Rings of an isochrone are compared with one another
+    only, a task of its own.
+    """
+    schema = ", ".join(f"{c} {dict(rings.dtypes)[c]}" for c in by) + ", rings array<array<array<double>>>, area double"
+    return rings.select(*by, "ring", "area").groupBy(*by).applyInPandas(lambda p: _with_holes(p, by), schema)
+
+
+def _with_holes(p: pd.DataFrame, by: tuple) -> pd.DataFrame:
+    outer = sorted(([[list(v) for v in r] for r in [ring]], area) for ring, area in zip(p["ring"], p["area"], strict=True) if area > 0)
+    for ring, area in zip(p["ring"], p["area"], strict=True):
+        around = [o for o in outer if area <= 0 and _contains(o[0][0], ring[0])]
+        if around:
+            min(around, key=lambda o: len(o[0][0]))[0].append([list(v) for v in ring])
+    keys = p[list(by)].iloc[:1]
+    return pd.concat([keys.assign(rings=[rings], area=area) for rings, area in outer] or [pd.DataFrame(columns=[*by, "rings", "area"])])
+
+
+def _contains(ring: list, point) -> bool:
+    x, y = point
+    sides = zip(ring, ring[1:], strict=False)
+    return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in sides) % 2 == 1
+
+
+def in_degrees(rings, size: float):
+    """Rings of cell coordinates as rings of (lon, lat): a cell's value stands at its centre."""
+    point = lambda p: F.array(*from_mercator((p[0] + 0.5) * F.lit(float(size)), (p[1] + 0.5) * F.lit(float(size))))
+    return F.transform(rings, lambda r: F.transform(r, point))

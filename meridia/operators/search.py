@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine
 from .store import cut, replaced
 
 
@@ -111,6 +112,12 @@ def tree(edges: DataFrame, best: DataFrame) -> DataFrame:
     return best.join(pick, ["src", "node", "dist"], "left").select("src", "node", "dist", "p.edge_id", "p.parent")
 
 
+def edge_values(edges: DataFrame, best: DataFrame, max_range: int) -> DataFrame:
+    """(src, edge_id, start, end): costs at both ends of the edges that leave reached nodes; the end is cut at max_range."""
+    on = best.select("src", "node", "dist").join(edges, F.col("node") == F.col("node_a"))
+    return on.select("src", "edge_id", F.col("dist").alias("start"), F.least(F.col("dist") + F.col("weight"), F.lit(max_range)).alias("end"))
+
+
 def path(spanning: DataFrame, source: int, target: int) -> DataFrame:
     """(seq, edge_id, node): the edges of a path, from source to target.
 
@@ -168,14 +175,21 @@ def meet(forward: DataFrame, back: DataFrame) -> DataFrame:
     return both.select("node", (F.col("f") + F.col("b")).alias("dist")).orderBy("dist", "node").limit(1)
 
 
-def both_ways(edges: DataFrame, source: int, target: int) -> DataFrame:
+def straight(nodes: DataFrame, to: int, speed: float = 130.0) -> DataFrame:
+    """(node, bound): seconds of the straight line to a node at the top speed in km/h, a lower bound of travel times."""
+    end = nodes.where(F.col("node_id") == to).select("lon", "lat").first()
+    metres = haversine("lon", "lat", F.lit(end["lon"]), F.lit(end["lat"]))
+    return nodes.select(F.col("node_id").alias("node"), F.floor(metres * 3.6 / speed).cast("int").alias("bound"))
+
+
+def both_ways(edges: DataFrame, source: int, target: int, ahead: DataFrame | None = None, behind: DataFrame | None = None) -> DataFrame:
     """(node, dist): where searches from both ends meet at the least sum; no row if there is no path.
 
     The side whose frontier has the lesser least label goes on, until the sum of both least labels reaches the best meeting or a
     side is exhausted: labels up to a frontier's least one are final, so no shorter path is left. Labels that reach the best
-    meeting are dropped.
+    meeting are dropped, with lower bounds (node, bound) of the rest to the target (ahead) and from the source (behind) sooner.
     """
-    spark = edges.sparkSession
+    spark, rest = edges.sparkSession, (ahead, behind)
     edges = cut(edges.select("node_a", "node_b", "weight"), "edges")
     seed = lambda n: cut(spark.createDataFrame([(n, n, 0)], "src int, node int, dist int"), "best")
     graphs, best = (edges, backward(edges)), [seed(source), seed(target)]
@@ -187,6 +201,8 @@ def both_ways(edges: DataFrame, source: int, target: int) -> DataFrame:
             return meet(*best)
         i = 0 if least[0] <= least[1] else 1
         step = front[i].join(graphs[i], front[i]["node"] == graphs[i]["node_a"]).select("src", F.col("node_b").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"))
+        if rest[i] is not None:
+            step = step.join(rest[i], "node", "left").where(F.col("dist") + F.coalesce("bound", F.lit(0)) < bound).drop("bound")
         cand = step.where(F.col("dist") < bound).groupBy("src", "node").agg(F.min("dist").alias("dist"))
         front[i] = cut(cand.join(best[i].withColumnRenamed("dist", "_old"), ["src", "node"], "left").where("_old IS NULL OR dist < _old").select("src", "node", "dist"), "front")
         best[i] = cut(best[i].unionByName(front[i]).groupBy("src", "node").agg(F.min("dist").alias("dist")), "best")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, roads
-from ..operators import components, hierarchy, kernel, maintain, raster, search, snap, tiles, transit
+from ..operators import components, hierarchy, kernel, maintain, raster, search, snap, tiled, tiles, transit
 from . import fixtures as fx
 from . import matrix as api
 
@@ -113,10 +113,11 @@ def speed_decode(spark, d) -> DataFrame:
     return e.select("edge_id", roads.travel_speed(way, limit, grade, F.when(F.col("edge_id") % 5 == 0, "sand")).alias("speed"), roads.is_oneway(way, F.when(F.col("edge_id") % 11 == 0, "yes")).alias("oneway"))
 
 
-def haversine_edges(spark, d) -> DataFrame:
+def haversine_edges(spark, d, digits: int | None = 2) -> DataFrame:
     n = fx.nodes(spark, d)
     a, b = n.toDF("node_a", "lon_a", "lat_a"), n.toDF("node_b", "lon_b", "lat_b")
-    return fx.edges(spark, d).join(a, "node_a").join(b, "node_b").select("edge_id", F.round(geo.haversine("lon_a", "lat_a", "lon_b", "lat_b"), 2).alias("metres"))
+    metres = geo.haversine("lon_a", "lat_a", "lon_b", "lat_b")
+    return fx.edges(spark, d).join(a, "node_a").join(b, "node_b").select("edge_id", (metres if digits is None else F.round(metres, digits)).alias("metres"))
 
 
 def snap_nearest(spark, d) -> DataFrame:
@@ -255,6 +256,70 @@ def overlay_search(spark, d) -> DataFrame:
     return tiles.overlay_search(e, t, tiles.overlay(e, t, RANGE), tiles.cell_index(e, t, RANGE), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
 
 
+def skeleton_edges(spark, d) -> DataFrame:
+    e = fx.edges(spark, d)
+    return tiled.skeleton(e, fx.tiles(fx.nodes(spark, d))).select("edge_id", "kind")
+
+
+def _length(e: DataFrame, steps: DataFrame) -> DataFrame:
+    return steps.join(e.select("edge_id", "weight"), "edge_id").agg(F.sum("weight").cast("int").alias("dist"))
+
+
+def skeleton_route_length(spark, d) -> DataFrame:
+    e, t = fx.edges(spark, d), fx.tiles(fx.nodes(spark, d))
+    return _length(e, tiled.skeleton_route(tiled.skeleton(e, t), t, 0, 9))
+
+
+def skeleton_tree(spark, d) -> DataFrame:
+    e, t = fx.edges(spark, d), fx.tiles(fx.nodes(spark, d))
+    return tiled.skeleton_tree(tiled.skeleton(e, t, RANGE), t, search.seeds_of(_ids(spark)), RANGE).select("src", "node", "dist", "edge_id")
+
+
+def superstep_route_length(spark, d) -> DataFrame:
+    e = fx.edges(spark, d)
+    return _length(e, tiled.superstep_route(e, fx.tiles(fx.nodes(spark, d)), 0, 9))
+
+
+def tile_sweep(spark, d) -> DataFrame:
+    n, e = fx.nodes(spark, d), fx.edges(spark, d)
+    t = fx.tiles(n)
+    levels, arcs = tiled.border_hierarchy(n, e, t)
+    return tiled.tile_sweep(levels, arcs, tiled.tile_index(levels, arcs, t), t, search.seeds_of(_ids(spark)), RANGE).select("src", "node", "dist")
+
+
+def ordered_hierarchy(spark, d) -> DataFrame:
+    """A hierarchy by degree, swept from one source."""
+    n, e = fx.nodes(spark, d), fx.edges(spark, d)
+    order = maintain.degrees(e).select("node", (F.col("forward") + F.col("backward")).alias("place"))
+    return hierarchy.sweep(*hierarchy.contract(n, e, order=order), search.seeds_of(_ids(spark, [0])), RANGE).select("node", "dist")
+
+
+def _timed(spark, d) -> DataFrame:
+    """Edges whose weight is the travel time of the straight line at the edge's speed."""
+    metres = haversine_edges(spark, d, digits=None).withColumnRenamed("metres", "_m")
+    slow = F.greatest(F.lit(1.0), F.ceil(F.col("_m") * 3.6 / F.col("maxspeed"))).cast("int")
+    return fx.edges(spark, d).join(metres, "edge_id").withColumn("weight", slow).drop("_m")
+
+
+def astar_length(spark, d) -> DataFrame:
+    e = _timed(spark, d)
+    return _length(e, search.route(e, 0, 9, search.straight(fx.nodes(spark, d), 9)))
+
+
+def bidirectional_astar_length(spark, d) -> DataFrame:
+    n = fx.nodes(spark, d)
+    return search.both_ways(_timed(spark, d), 0, 9, search.straight(n, 9), search.straight(n, 0)).select(F.col("dist").cast("int").alias("dist"))
+
+
+def edge_values(spark, d) -> DataFrame:
+    e = fx.edges(spark, d)
+    return search.edge_values(e, kernel.one_to_many(e, search.seeds_of(_ids(spark)), RANGE), RANGE)
+
+
+def isochrone_features(spark, d) -> DataFrame:
+    return api.isochrone_features(fx.nodes(spark, d), fx.edges(spark, d), _ids(spark, [0]), [200, 300], 20000.0)
+
+
 def matrix(spark, d) -> DataFrame:
     """From every supplier to every point."""
     return api.matrix(fx.nodes(spark, d), fx.edges(spark, d), fx.suppliers(spark, d), fx.points(spark, d), RANGE)
@@ -267,7 +332,8 @@ QUERIES = {
         tile_partition_geo, weights_car, weights_foot, weights_bike, weights_shortest, speed_decode, haversine_edges, snap_nearest, grid_points_in_polygon, range_dijkstra, multi_source,
         avoid_dijkstra, turn_cost_dijkstra, nearest_source, k_nearest, reach_bfs, scc_of_node, largest_scc, shortest_path_length, meet_in_middle, gtfs_connections, schedule_by_day,
         next_departure, departures_in_window, pareto_labels, transit_earliest_arrival, transit_window_matrix, isoraster_cells, marching_keys, isochrone_rings, phast_all, rphast, ch_query,
-        overlay_search, matrix,
+        overlay_search, matrix, skeleton_edges, skeleton_route_length, skeleton_tree, superstep_route_length, tile_sweep, ordered_hierarchy, astar_length,
+        bidirectional_astar_length, edge_values, isochrone_features,
     )
 }
 
@@ -318,6 +384,12 @@ _RAD = lambda x: f"(CAST(CAST({x} AS FLOAT) AS DOUBLE) * CAST(3.141592653589793
 _SPEED_CASES = "CASE road_type " + " ".join(f"WHEN {i + 1} THEN {roads.CLASS_SPEED[n]}" for i, n in enumerate(roads.ROAD_TYPES)) + " END"
 _RIDE = "SELECT r.{key}, t.stop_b, MIN(t.arr) FROM {name} r, LATERAL (SELECT route_id, stop_b, ARG_MIN(arrival, departure) AS arr FROM tt WHERE stop_a = r.stop AND departure >= r.time AND departure <= {last} GROUP BY route_id, stop_b) t LEFT JOIN recurring.{name} x ON {match} WHERE t.arr {limit} AND t.arr < COALESCE(x.time, 2000000000) GROUP BY ALL"
 
+_METRES = f"12730000 * ASIN(SQRT(LEAST(POW(SIN(({_RAD('b.lat')}-{_RAD('a.lat')})/2),2) + COS({_RAD('a.lat')})*COS({_RAD('b.lat')})*POW(SIN(({_RAD('b.lon')}-{_RAD('a.lon')})/2),2), 1)))"
+_TIMED = f"timed AS (SELECT e.edge_id, e.node_a, e.node_b, CAST(GREATEST(1, CEIL({_METRES} * CAST(3.6 AS DOUBLE) / maxspeed)) AS INT) AS weight FROM rg_edges e JOIN rg_nodes a ON a.node_id = e.node_a JOIN rg_nodes b ON b.node_id = e.node_b)"
+_INNER = "inn AS (SELECT edge_id, node_a, node_b, weight FROM tagged WHERE tile_a = tile_b)"
+_PICK = "SELECT f.src, f.node, ARG_MIN(e.edge_id, e.edge_id) AS edge_id, ARG_MIN(e.node_a, e.edge_id) AS parent FROM fp f JOIN {edges} e ON e.node_b = f.node JOIN fp g ON g.src = f.src AND g.node = e.node_a AND g.dist + e.weight = f.dist GROUP BY ALL"
+_FAR = "SELECT CAST(dist AS INT) AS dist FROM fp WHERE node = 9"
+
 ORACLE_SQL = {
     "degree": _q("SELECT node, SUM(f)::BIGINT AS forward, SUM(b)::BIGINT AS backward FROM (SELECT node_a AS node, 1 AS f, 0 AS b FROM rg_edges UNION ALL SELECT node_b, 0, 1 FROM rg_edges) GROUP BY node"),
     "tile_counts": _q("SELECT tile, COUNT(*) AS nodes FROM rg_tiles GROUP BY tile"),
@@ -367,6 +439,22 @@ FROM rg_edges JOIN rg_nodes a ON a.node_id = node_a JOIN rg_nodes b ON b.node_id
     "schedule_by_day": _q("SELECT day, conn_id, departure, MIN(arrival) AS arrival FROM conns JOIN rg_legs USING (route_id, stop_a, stop_b) JOIN (SELECT CAST(o_orderkey AS INT) AS trip_id, CAST(ISODOW(o_orderdate) AS INT) AS day FROM orders) USING (trip_id) GROUP BY day, conn_id, departure", _CONNS),
     "next_departure": _q("SELECT conn_id, asked, MIN(departure) AS departure, ARG_MIN(arrival, departure) AS arrival FROM conns JOIN tt USING (route_id, stop_a, stop_b), (SELECT UNNEST([30000, 43200]) AS asked) WHERE departure >= asked GROUP BY conn_id, asked", _CONNS),
     "pareto_labels": _q("SELECT DISTINCT src, stop, time, departure FROM l WHERE NOT EXISTS (SELECT 1 FROM l m WHERE m.src = l.src AND m.stop = l.stop AND m.time <= l.time AND m.departure >= l.departure AND (m.time < l.time OR m.departure > l.departure))", "l AS (SELECT stop_a AS src, stop_b AS stop, arrival AS time, departure FROM tt)"),
+    "skeleton_edges": _q(
+        "SELECT t.edge_id, CASE WHEN tile_a <> tile_b THEN 10 WHEN t.edge_id IN (SELECT edge_id FROM pick JOIN up USING (src, node)) THEN 20 ELSE 0 END AS kind FROM tagged t",
+        _TAGGED,
+        _INNER,
+        _search("inn", most=2**30, starts="SELECT DISTINCT node_b AS src, node_b AS node, 0 AS dist FROM tagged WHERE tile_a <> tile_b"),
+        f"pick AS ({_PICK.format(edges='inn')})",
+        "up(src, node) AS (SELECT src, node FROM pick WHERE node IN (SELECT node_a FROM tagged WHERE tile_a <> tile_b) UNION SELECT p.src, p.parent FROM up JOIN pick p USING (src, node))",
+    ),
+    "skeleton_route_length": _q(_FAR, _search(ids=[0], most=100000)),
+    "superstep_route_length": _q(_FAR, _search(ids=[0], most=100000)),
+    "skeleton_tree": _q(f"SELECT fp.src, fp.node, CAST(dist AS INT) AS dist, edge_id FROM fp LEFT JOIN pick ON pick.src = fp.src AND pick.node = fp.node", _search(), f"pick AS ({_PICK.format(edges='rg_edges')})"),
+    "tile_sweep": _q("SELECT src, node, CAST(dist AS INT) AS dist FROM fp", _search()),
+    "ordered_hierarchy": _q("SELECT node, CAST(dist AS INT) AS dist FROM fp", _search(ids=[0])),
+    "astar_length": _q(_FAR, _TIMED, _search("timed", ids=[0], most=100000)),
+    "bidirectional_astar_length": _q(_FAR, _TIMED, _search("timed", ids=[0], most=100000)),
+    "edge_values": _q(f"SELECT src, edge_id, CAST(dist AS INT) AS start, CAST(LEAST(dist + weight, {RANGE}) AS INT) AS \"end\" FROM fp JOIN rg_edges ON node = node_a", _search()),
     "matrix": _q(
         "SELECT s.point_id AS source, t.point_id AS target, CAST(COALESCE(dist, -1) AS INT) AS distance FROM ss s CROSS JOIN sn t LEFT JOIN fp ON fp.src = s.node_id AND fp.node = t.node_id",
         f"rg_suppliers AS ({fx.SUPPLIERS_SQL})",
