@@ -39,6 +39,9 @@ FOR_CONTEXT = r"(?i)\b(?:tel|phone|call|mobile|cell|fax|mail|contact|reach|write
 AGAINST_CONTEXT = r"(?i)\b(?:isbn|version|order|item|page|pages|sha|id|ref|no|nr|section|chapter)\b"
 _NAMED = r"(?i)\b(?:" + "|".join(GIVEN_NAMES) + r")\b"
 CONTEXT = 40
+#: Matches that are placed together.
+RUN = 64
+_NO_SPANS = "cast(array() AS array<struct<s:int,e:int,k:int,m:string>>)"
 LABELERS = ["pattern", "gazetteer", "context", "against", "structure"]
 
 
@@ -66,29 +69,41 @@ def _checks(kind: str):
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Array of (s, e, kind, m) of the pattern's matches, in code points: gaps and matches alternate, so their
-    running lengths are the positions."""
+    """Array of (s, e, kind, m) of the pattern's matches, in code points: gaps and matches alternate, so their running lengths are the
+    positions. Matches are taken in runs of RUN, whose starts are summed first, as an array that grows by one is copied each time."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind_no = KINDS.index(kind)
-    pairs = F.arrays_zip(F.transform(gaps, lambda x: F.length(x)).alias("g"), found.alias("m"))
-    start = F.struct(F.lit(0).alias("p"), F.expr("cast(array() AS array<struct<s:int,e:int,k:int,m:string>>)").alias("o"))
-    walked = F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()),
-        start,
-        lambda a, x: F.struct(
-            (a["p"] + x["g"] + F.length(x["m"])).alias("p"),
-            F.array_append(a["o"], F.struct((a["p"] + x["g"]).alias("s"), (a["p"] + x["g"] + F.length(x["m"])).alias("e"), F.lit(kind_no).alias("k"), x["m"].alias("m"))).alias("o"),
-        ),
-        lambda a: a["o"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.expr("cast(array() AS array<struct<s:int,e:int,k:int,m:string>>)"))
+    pairs = F.filter(F.arrays_zip(F.transform(gaps, lambda x: F.length(x)).alias("g"), found.alias("m")), lambda x: x["m"].isNotNull())
+    run_of = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, RUN))
+    walked = _let(_let(pairs, run_of), lambda runs: F.flatten(F.zip_with(runs, _starts(runs), lambda run, at: _placed(run, at, KINDS.index(kind)))))
+    return F.when(text.rlike(pattern), walked).otherwise(F.expr(_NO_SPANS))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _wide(x: Column) -> Column:
+    return x["g"] + F.length(x["m"])
+
+
+def _starts(runs: Column) -> Column:
+    """Where each run of matches starts: the lengths of all runs before it."""
+    lengths = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda p, x: p + _wide(x)))
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n), lambda out: F.slice(out, 1, F.size(out) - 1))
+
+
+def _placed(run: Column, at: Column, kind_no: int) -> Column:
+    start = F.struct(at.alias("p"), F.expr(_NO_SPANS).alias("o"))
+    span = lambda p, x: F.struct((p + x["g"]).alias("s"), (p + _wide(x)).alias("e"), F.lit(kind_no).alias("k"), x["m"].alias("m"))
+    return F.aggregate(run, start, lambda a, x: F.struct((a["p"] + _wide(x)).alias("p"), F.array_append(a["o"], span(a["p"], x)).alias("o")), lambda a: a["o"])
 
 
 def candidates(docs: DataFrame, text: str, key: str) -> DataFrame:
     """docs' key with base (valid spans of the fixed patterns) and more (candidates of the added kinds that touch no base span)."""
     t = F.coalesce(F.col("_t"), F.lit(""))
     arrays = [F.filter(_matches(t, k, p), _checks(k)) for k, p in BASE.items()]
-    none = F.expr("cast(array() AS array<struct<s:int,e:int,k:int,m:string>>)")
+    none = F.expr(_NO_SPANS)
     digits = F.when(t.rlike("[0-9@]"), F.concat(*arrays)).otherwise(none)
     more = F.when(t.rlike(_HINT), F.concat(*(_matches(t, k, p) for k, p in ADDED.items()))).otherwise(none)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).withColumn("base", digits).withColumn("_more", more)
@@ -166,8 +181,8 @@ def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     at most, come to the driver; expectation-maximisation gives the labelers' reliabilities and posteriors, a logistic
     classifier is fitted to these, and accepted candidates join the base spans. Null counts as empty; repeated rows get
     equal spans; without any candidate the model accepts nothing; an empty table gives an empty result; null keys are keys; further columns, whatever their
-    names, are dropped. A very long text is one row of its task, whose time grows with the square of its matches (positions are folded into an
-    array). No shuffle but that of the counts.
+    names, are dropped. A very long text is one row of its task; its matches are placed in runs, and candidates are compared with each base span of
+    their text. No shuffle but that of the counts.
     """
     found = candidates(docs, text, key)
     voted = found.withColumn("voted", F.transform("more", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), _votes(x, F.coalesce(F.col("_t"), F.lit(""))).alias("v"), _shape(x).alias("h"))))

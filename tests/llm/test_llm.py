@@ -407,6 +407,13 @@ def test_pii(spark, docs, empty):
     assert pii.find_pii(docs).count() == docs.count() and pii.find_pii(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, pii.RUN - 1, pii.RUN, pii.RUN + 1, 3 * pii.RUN, 4000])
+def test_pii_places_every_match_of_a_text(spark, n):
+    text = " ".join(f"\u00fc{i} joe{i}@mail{i}.org, 10.0.{i % 300}.1" for i in range(n))
+    got = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.s, x.k, x.e) for x in got.base] == brute_pii(text)
+
+
 def test_every_match_of_an_added_kind_has_the_hint():
     java = lambda p: re.sub(r"([+*?}])\+", r"\1", p)  # noqa: E731  possessive quantifiers, which older engines lack
     samples = ["account _DE44500105175407324931 end", "AB12CDEF3456GH", "x(55)123 4567", "(555) 12.3456", "123-45-6789", "joe(AT)site(dot)com", "call 555 123 4567"]
