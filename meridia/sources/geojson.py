@@ -51,3 +51,16 @@ def route_features(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """
     line = F.transform("geom", lambda p: F.array(p["lon"].cast("double"), p["lat"].cast("double")))
     return steps.join(edges.select("edge_id", "geom"), "edge_id").select("seq", feature("LineString", line, value=F.lit(0)).alias("feature"))
+
+
+def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature): a Point of each node and a LineString of each edge, straight between its ends; write_features stores them."""
+    point = lambda s: nodes.select(F.col("node_id").alias(f"node_{s}"), F.array(F.col("lon").cast("double"), F.col("lat").cast("double")).alias(f"_{s}"))
+    lines = edges.join(point("a"), "node_a").join(point("b"), "node_b")
+    spots = point("a").select(feature("Point", F.col("_a"), node_id=F.col("node_a")).alias("feature"))
+    return spots.unionByName(lines.select(feature("LineString", F.array("_a", "_b"), edge_id=F.col("edge_id"), weight=F.col("weight")).alias("feature")))
+
+
+def point_features(points: DataFrame) -> DataFrame:
+    """(feature): points (lon, lat, weight), as tabular.read_points gives them."""
+    return points.select(feature("Point", F.array("lon", "lat"), weight=F.col("weight")).alias("feature"))

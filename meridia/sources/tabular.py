@@ -47,3 +47,18 @@ def metis(edges: DataFrame) -> DataFrame:
     """(node, line): neighbours of each node without direction or repeats, ids from 1."""
     both = edges.select("node_a", "node_b").union(edges.select("node_b", "node_a")).where("node_a <> node_b").distinct()
     return both.groupBy(F.col("node_a").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("node_b")), lambda x: x + 1), " ").alias("line"))
+
+
+def write_metis(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph in METIS form: a line with the numbers of nodes and undirected edges, then a line a node in order of ids, which must run from 0."""
+    lines = nodes.select(F.col("node_id").alias("node")).join(metis(edges), "node", "left").select("node", F.coalesce("line", F.lit("")).alias("line"))
+    sizes = lines.agg(F.count("*").alias("n"), F.sum(F.size(F.filter(F.split("line", " "), lambda x: x != ""))).alias("m"))
+    head = sizes.select(F.lit(-1).alias("node"), F.concat_ws(" ", "n", (F.coalesce("m", F.lit(0)) / 2).cast("long")).alias("line"))
+    lines.unionByName(head).repartitionByRange("node").sortWithinPartitions("node").select("line").write.text(path)
+
+
+def write_ordering(order: DataFrame, path: str) -> None:
+    """node and place of order (node_id, place), a line each after a line with their number; read_ordering reads it."""
+    lines = order.select("node_id", F.concat_ws(" ", "node_id", "place").alias("line"))
+    head = order.agg(F.count("*").cast("string").alias("line")).select(F.lit(-1).alias("node_id"), "line")
+    lines.unionByName(head).repartitionByRange("node_id").sortWithinPartitions("node_id").select("line").write.text(path)
