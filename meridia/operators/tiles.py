@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import fixpoint
-from .store import cut
+from .store import cut, replaced
 
 
 def by_polygons(nodes: DataFrame, predicates: list[Column]) -> DataFrame:
@@ -75,13 +75,33 @@ def ordering(nodes: DataFrame, *keys) -> DataFrame:
     return nodes.select(F.col("node_id").alias("source"), (F.row_number().over(Window.orderBy(*keys, "node_id")) - 1).alias("target"))
 
 
-def inertial_flow(nodes: DataFrame, edges: DataFrame, most: int = 10_000, share: float = 0.25) -> DataFrame:
+def bisected(nodes: DataFrame, most: int) -> DataFrame:
+    """(node_id, tile): parts of at most ``most`` nodes, by halving the longer side of a part's box at its median; all parts at once.
+
+    Nodes at one point are halved by their ids' hash. Only a row a part is exchanged, so no task holds a part.
+    """
+    at = cut(nodes.select("node_id", "lon", "lat", F.lit(1).cast("long").alias("tile")), "bisect")
+    while True:
+        ends = [f(c).alias(f"_{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))]
+        mid = [F.percentile_approx(c, 0.5).alias(f"_mid_{c}") for c in ("lon", "lat")]
+        big = cut(at.groupBy("tile").agg(F.count("*").alias("_n"), *ends, *mid).where(F.col("_n") > most), "bisect-big")
+        if big.isEmpty():
+            return at.select("node_id", "tile")
+        wide = {c: F.col(f"_max_{c}") - F.col(f"_min_{c}") for c in ("lon", "lat")}
+        beyond = lambda c: F.when(F.col(f"_mid_{c}") < F.col(f"_max_{c}"), F.col(c) > F.col(f"_mid_{c}")).otherwise(F.col(c) >= F.col(f"_mid_{c}"))
+        side = F.when((wide["lon"] == 0) & (wide["lat"] == 0), F.pmod(F.xxhash64("node_id", "tile"), F.lit(2)) == 1).when(wide["lon"] >= wide["lat"], beyond("lon")).otherwise(beyond("lat"))
+        halves = at.join(big, "tile", "left").withColumn("_t", F.when(F.col("_n").isNull(), F.col("tile")).otherwise(F.col("tile") * 2 + side.cast("long")))
+        at = replaced(at, cut(halves.select("node_id", "lon", "lat", F.col("_t").alias("tile")), "bisect"))
+
+
+def inertial_flow(nodes: DataFrame, edges: DataFrame, most: int = 10_000, share: float = 0.25, task: int = 200_000) -> DataFrame:
     """(node_id, tile): cells of at most ``most`` nodes, by repeated minimum cuts along four directions.
 
-    Each round cuts all cells that are too large at once, a task per cell; sources and sinks are the outer ``share`` of the nodes in a
-    direction, capacities are one an edge. The least of the four cuts wins.
+    A cut is found by one task, so the nodes are first halved by place into parts of at most ``task``. Each round then cuts all cells that
+    are too large at once, a task per cell; sources and sinks are the outer ``share`` of the nodes in a direction, capacities are
+    one an edge. The least of the four cuts wins.
     """
-    tiles = cut(nodes.select("node_id", F.lit(1).cast("long").alias("tile")), "flow")
+    tiles = cut(bisected(nodes, max(task, most)), "flow")
     spots = nodes.select("node_id", "lon", "lat")
     while True:
         big = cut(tiles.groupBy("tile").agg(F.count("*").alias("n")).where(F.col("n") > most).select("tile"), "flow-big")

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,18 @@ def test_isochrone_features_are_closed_polygons(spark, town):
     for r in rows:
         f = json.loads(r.feature)
         assert f["properties"]["value"] == r.value and all(ring[0] == ring[-1] and len(ring) > 3 for ring in f["geometry"]["coordinates"])
+
+
+@pytest.mark.parametrize("spots", [[(float(i % 7), float(i // 7)) for i in range(40)], [(1.0, 2.0)] * 40, [(0.0, 0.0)] * 30 + [(1.0, 0.0)] * 10, []])
+def test_halving_by_place(spark, spots):
+    nodes = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "node_id int, lon double, lat double")
+    got = tiles.bisected(nodes, 6).collect()
+    sizes = Counter(r.tile for r in got)
+    assert sorted(r.node_id for r in got) == list(range(len(spots))) and all(n <= 6 for n in sizes.values())
+    assert not any(a != b and bin(b).startswith(bin(a)) for a in sizes for b in sizes)
+
+
+def test_cells_of_flow_after_halving(spark, town):
+    _, n, e, _ = town
+    sizes = Counter(r.tile for r in tiles.inertial_flow(n, e, most=8, task=20).collect())
+    assert sum(sizes.values()) == 48 and max(sizes.values()) <= 8
