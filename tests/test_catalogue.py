@@ -99,3 +99,15 @@ def test_meet_in_middle_finds_paths_over_heavy_edges(spark, monkeypatch, edges):
     monkeypatch.setattr(fx, "edges", lambda spark, d: spark.createDataFrame(edges, "node_a int, node_b int, weight int"))
     want = heap_search(edges, 0).get(9)
     assert [r.dist for r in catalogue.QUERIES["meet_in_middle"](spark, "").collect()] == ([] if want is None else [want])
+
+
+@pytest.mark.parametrize(("weights", "want"), [((300, 300), [600]), ((301, 300), []), ((700, 1), [])])
+def test_meet_in_middle_ends_at_the_range_of_its_sql(spark, tmp_path, weights, want):
+    rows = [(k, a, w * 1000.0) for k, (a, w) in enumerate(zip((0, 1, 9), (*weights, 0), strict=True))]
+    spark.createDataFrame([(k, a, p, "2024-01-01") for k, a, p in rows], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for table in ("customer", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
+    assert [r[0] for r in con.execute(catalogue.ORACLE_SQL["meet_in_middle"]).fetchall()] == want
+    assert [r.dist for r in catalogue.QUERIES["meet_in_middle"](spark, str(tmp_path)).collect()] == want
