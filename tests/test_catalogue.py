@@ -2,11 +2,13 @@
 
 import heapq
 import math
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from meridia.operators import snap
 from meridia.plans import catalogue
 from meridia.plans import fixtures as fx
 
@@ -111,3 +113,26 @@ def test_meet_in_middle_ends_at_the_range_of_its_sql(spark, tmp_path, weights, w
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     assert [r[0] for r in con.execute(catalogue.ORACLE_SQL["meet_in_middle"]).fetchall()] == want
     assert [r.dist for r in catalogue.QUERIES["meet_in_middle"](spark, str(tmp_path)).collect()] == want
+
+
+def test_snap_finds_the_nearest_node_in_crowds_at_edges_and_in_the_open(spark):
+    rng = random.Random(5)
+    crowd = [(i, 7 + rng.random() * 0.002, 50 + rng.random() * 0.002) for i in range(1500)]
+    few = [(2000 + i, 7 + rng.random(), 50 + rng.random()) for i in range(200)]
+    nodes = crowd + few + [(3000 + i, 7.5, 50.5) for i in range(300)] + [(5000, -8.0, -3.0)]  # 300 of one place
+    points = [(i, x + rng.gauss(0, s), y + rng.gauss(0, s)) for i, (_, x, y) in enumerate(rng.sample(nodes, 300)) for s in [rng.choice((0.0, 0.0005, 0.02, 0.2))]]
+    points += [(400, 7.5, 50.5), (401, -8.05, -3.0), (402, -8.0, -2.95), (403, -8.051, -3.0), (404, 7.5, 50.45), (405, 7.06, 50.001)]
+    got = {r.point_id: r.node_id for r in snap.snap(spark.createDataFrame(points, "point_id int, lon double, lat double"), spark.createDataFrame(nodes, "node_id int, lon double, lat double")).collect()}
+    want = {}
+    for p, x, y in points:
+        d, n = min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), n) for n, a, b in nodes)
+        want[p] = n if d <= 0.05 else -1
+    assert got == want and -1 in want.values() and got[400] == 3000
+
+
+def test_snap_meets_few_candidates_of_crowded_cells(spark):
+    rng = random.Random(6)
+    places = lambda name: spark.createDataFrame([(i, 7 + rng.random() * 0.2, 50 + rng.random() * 0.2) for i in range(3000)], f"{name} int, lon double, lat double")
+    found = snap._finest(places("node_id").toDF("node_id", "_x", "_y"), snap.RADIUS)
+    assert 2 * snap.RADIUS / 2**found < 0.01  # cells of about two nodes, where those of the radius held 190
+    assert snap.snap(places("point_id"), places("node_id")).where("node_id >= 0").count() == 3000
