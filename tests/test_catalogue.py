@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -11,6 +12,7 @@ import pytest
 from meridia.operators import snap
 from meridia.plans import catalogue
 from meridia.plans import fixtures as fx
+from meridia.plans import matrix as api
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -89,6 +91,23 @@ def test_matrix_and_transit_ask_for_every_point_connection_and_departure(spark):
         assert any(t <= r.arrival and x >= r.departure for s, p, t, x in labels if (s, p) == (r.stop_a, r.stop_b))
 
 
+def test_matrix_fills_cells_without_a_shuffle_of_them(spark):
+    plan = catalogue.QUERIES["matrix"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "array_except" in plan and not re.search(r"hashpartitioning\(source#\d+L?, target#", plan)
+
+
+@pytest.mark.parametrize("targets", [1, 7, 1000])
+def test_matrix_has_each_cell_once_whatever_the_blocks(spark, monkeypatch, targets):
+    monkeypatch.setattr(api, "TARGETS", targets)
+    nodes = spark.createDataFrame([(i, 7 + i / 100, 50.0) for i in range(20)], "node_id int, lon double, lat double")
+    edges = spark.createDataFrame([(i, i + 1, 10) for i in range(19)], "node_a int, node_b int, weight int")
+    ask = spark.createDataFrame([(100 + i, 7 + i / 100, 50.0) for i in range(0, 20, 3)] + [(200, 0.0, 0.0), (201, 7.0, 50.0)], "point_id int, lon double, lat double")
+    got = [tuple(r) for r in api.matrix(nodes, edges, ask, ask, 60).collect()]
+    at = {100 + i: i for i in range(0, 20, 3)} | {201: 0, 200: None}
+    far = lambda p, q: -1 if p is None or q is None or not 0 <= q - p <= 6 else 10 * (q - p)
+    assert sorted(got) == sorted((s, t, far(at[s], at[t])) for s in at for t in at)
+
+
 @pytest.mark.parametrize(
     "edges",
     [
@@ -134,5 +153,5 @@ def test_snap_meets_few_candidates_of_crowded_cells(spark):
     rng = random.Random(6)
     places = lambda name: spark.createDataFrame([(i, 7 + rng.random() * 0.2, 50 + rng.random() * 0.2) for i in range(3000)], f"{name} int, lon double, lat double")
     found = snap._finest(places("node_id").toDF("node_id", "_x", "_y"), snap.RADIUS)
-    assert 2 * snap.RADIUS / 2**found < 0.01  # cells of about two nodes, where those of the radius held 190
+    assert 2 * snap.RADIUS / 4**found < 0.01  # cells of a few nodes, where those of the radius held 190
     assert snap.snap(places("point_id"), places("node_id")).where("node_id >= 0").count() == 3000
