@@ -375,6 +375,31 @@ def test_line_classes_equal_all_pairs(spark, kind, group):
     assert linked(got) >= (0.99 if group > 20 else 0.97) * linked(want)
 
 
+@pytest.mark.parametrize(("kind", "least"), [("edits", lines.LEAST), ("edits", lines.HASHES + 1), ("stems", lines.HASHES + 1), ("chain", lines.HASHES + 1)])
+def test_no_pair_of_a_group_is_dropped_by_its_values(monkeypatch, kind, least):
+    """With a LEAST that no pair reaches, all links must come from the exact rest."""
+    monkeypatch.setattr(lines, "LEAST", least)
+    monkeypatch.setattr(lines, "PAIRS", 50)
+    text = "".join(rng.choice(list("abcdefgh"), 400))
+    found = [text[i : i + 200] for i in range(0, 200, 5)] if kind == "chain" else own_lines(kind)  # near their neighbours only
+    data, off = text_buffer(pa.array(found))
+    hashes, at = lines.shingles(data, lines.prefix_sums(data, 0), off[:-1], off[1:])
+    sets = [np.unique(hashes[i:j]) for i, j in zip(at, at[1:], strict=False)]
+    root = list(range(len(found)))
+    edges = lines.Links(lines.THRESHOLD, 64).spanning(sets)
+    for i, j in edges:
+        root = [root[i] if r == root[j] else r for r in root]
+    got = {frozenset(x for x, r in zip(found, root, strict=True) if r == c) for c in root}
+    want = brute_line_classes(found)
+    assert {c for c in got if len(c) > 1} == want and len(edges) == sum(len(c) - 1 for c in want)
+
+
+def test_large_bands_lose_no_pair(spark):
+    """Bands of more than 3 lines are dealt anew; the same classes come out as from whole bands."""
+    found = own_lines("edits") + own_lines("stems")
+    assert found_classes(spark, found, group=3) == found_classes(spark, found)
+
+
 def test_recall_of_the_bands_and_of_the_filter():
     """Share of pairs at 0.8 to 0.85 that share a band and keep LEAST equal values: 0.99 at least."""
     rnd = np.random.default_rng(3)
