@@ -108,6 +108,30 @@ def test_matrix_has_each_cell_once_whatever_the_blocks(spark, monkeypatch, targe
     assert sorted(got) == sorted((s, t, far(at[s], at[t])) for s in at for t in at)
 
 
+@pytest.mark.parametrize(("targets", "sources", "cells"), [(3, 2, 5), (256, 1, 4)])
+def test_matrix_has_each_cell_once_whatever_the_tiles_and_tasks(spark, monkeypatch, targets, sources, cells):
+    for name, value in (("TARGETS", targets), ("SOURCES", sources), ("CELLS", cells)):
+        monkeypatch.setattr(api, name, value)
+    nodes = spark.createDataFrame([(i, 7 + i / 100, 50.0) for i in range(9)], "node_id int, lon double, lat double")
+    edges = spark.createDataFrame([(i, i + 1, 10) for i in range(8)], "node_a int, node_b int, weight int")
+    ask = spark.createDataFrame([(10 + i, 7 + i / 100, 50.0) for i in range(9)] + [(90, 0.0, 0.0)], "point_id int, lon double, lat double")
+    want = [(s, t, 10 * (t - s) if t < 90 and 0 <= t - s <= 4 else 0 if s == t < 90 else -1) for s in (*range(10, 19), 90) for t in (*range(10, 19), 90)]
+    got = api.matrix(nodes, edges, ask, ask, 40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and not re.search(r"hashpartitioning\((?:task|block)#\d+L?, [a-z]", plan)
+    assert sorted(map(tuple, got.collect())) == want
+    assert api.matrix(nodes, edges, *((ask.limit(0), ask) if sources == 1 else (ask, ask.limit(0))), 40).count() == 0
+
+
+def test_matrix_takes_little_disk(spark, tmp_path):
+    nodes = spark.createDataFrame([(i, 7 + i / 100, 50.0) for i in range(50)], "node_id int, lon double, lat double")
+    edges = spark.createDataFrame([(i, i + 1, 10) for i in range(49)], "node_a int, node_b int, weight int")
+    ask = lambda n: spark.range(n).selectExpr("CAST(id * 7919 % 1000003 AS INT) AS point_id", "7 + id % 500 / 1000D AS lon", "50D AS lat")
+    api.matrix(nodes, edges, ask(50), ask(40000), 30).write.parquet(out := f"{tmp_path}/cells")
+    assert spark.read.parquet(out).count() == 2_000_000
+    assert sum(p.stat().st_size for p in Path(out).glob("*.parquet")) < 0.75 * 2_000_000
+
+
 @pytest.mark.parametrize(
     "edges",
     [
